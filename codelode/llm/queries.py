@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.llm.leaks import leaks
+from codelode.llm.neighbours import nearest, similar_pairs
+from codelode.llm.packing import pack_documents
+from codelode.llm.secrets import find_secrets, redact
 from codelode.llm.spans import shared_chars, shared_spans
 from codelode.llm.splitting import split_oversized
 from codelode.sources.tables import table
@@ -32,6 +35,43 @@ def p1_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split_oversized(table(spark, root, "code_chunks")).dropDuplicates(["id", "piece_index"])
 
 
+def _vectors(spark: SparkSession, root: str) -> DataFrame:
+    owned = [table(spark, root, t).select(F.lit(t).alias("owner"), "id", "embedding") for t in ("code_chunks", "files", "symbols")]
+    return owned[0].unionByName(owned[1]).unionByName(owned[2])
+
+
+@query
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of rows of one table with a similarity of at least 0.95, each among the other's five most similar."""
+    return similar_pairs(_vectors(spark, root)).where("mutual").select("owner", "id_a", "id_b")
+
+
+@query
+def p6_nearest(spark: SparkSession, root: str) -> DataFrame:
+    """The five most similar rows of every row whose id is divisible by 100, against all rows of its table."""
+    vectors = _vectors(spark, root)
+    return nearest(vectors.where("id % 100 = 0"), vectors)
+
+
+@query
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """The lines of chunks where a credential starts."""
+    found = find_secrets(table(spark, root, "code_chunks").select("id", "content"))
+    return found.select(F.col("id").alias("chunk_id"), F.col("line").cast("long").alias("line_in_chunk")).distinct()
+
+
+@query
+def p7_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """The chunks that hold credentials, with the values blanked."""
+    return redact(table(spark, root, "code_chunks").select("id", "content")).where("n_secrets > 0").dropDuplicates(["id"])
+
+
+@query
+def p8_packing(spark: SparkSession, root: str) -> DataFrame:
+    """The container of every document or piece of one."""
+    return pack_documents(table(spark, root, "documents"))
+
+
 @query
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents that hold twelve consecutive words of an evaluation item."""
