@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelode.llm.docpairs import source_pairs, symbol_pairs
 from codelode.llm.leaks import leaks
 from codelode.llm.neighbours import nearest, similar_pairs
 from codelode.llm.packing import pack_documents
 from codelode.llm.secrets import find_secrets, redact
 from codelode.llm.spans import shared_chars, shared_spans
 from codelode.llm.splitting import split_oversized
-from codelode.sources.tables import table
+from codelode.sources.tables import stored_files, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -35,6 +36,29 @@ def p1_pieces(spark: SparkSession, root: str) -> DataFrame:
     return split_oversized(table(spark, root, "code_chunks")).dropDuplicates(["id", "piece_index"])
 
 
+@query
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Functions and methods whose documentation describes them."""
+    return symbol_pairs(table(spark, root, "symbols")).select("id")
+
+
+@query
+def p2_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """The pairs of code and description."""
+    return symbol_pairs(table(spark, root, "symbols"))
+
+
+def _texts(spark: SparkSession, root: str) -> DataFrame:
+    files = stored_files(table(spark, root, "files"), "id", "repo", "path", "language", "size_bytes", "line_count")
+    return table(spark, root, "source_texts").join(files, F.col("file_id") == F.col("id")).drop("id")
+
+
+@query
+def p2_source_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Documented functions found in the source texts themselves."""
+    return source_pairs(_texts(spark, root))
+
+
 def _vectors(spark: SparkSession, root: str) -> DataFrame:
     owned = [table(spark, root, t).select(F.lit(t).alias("owner"), "id", "embedding") for t in ("code_chunks", "files", "symbols")]
     return owned[0].unionByName(owned[1]).unionByName(owned[2])
