@@ -9,6 +9,7 @@ from codelode.llm.docpairs import source_pairs, symbol_pairs
 from codelode.llm.leaks import leaks
 from codelode.llm.neighbours import nearest, similar_pairs
 from codelode.llm.packing import pack_documents
+from codelode.llm.provenance import not_hand_written
 from codelode.llm.secrets import find_secrets, redact
 from codelode.llm.spans import shared_chars, shared_spans
 from codelode.llm.splitting import split_oversized
@@ -59,6 +60,25 @@ def p2_source_pairs(spark: SparkSession, root: str) -> DataFrame:
     return source_pairs(_texts(spark, root))
 
 
+def _scored(spark: SparkSession, root: str) -> DataFrame:
+    files = stored_files(table(spark, root, "files"), "id", "path", "size_bytes", "line_count")
+    return not_hand_written(files, table(spark, root, "source_texts"))
+
+
+@query
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Files that nobody wrote by hand in their repository."""
+    return _scored(spark, root).where(~F.col("hand_written")).select("id")
+
+
+@query
+def p3_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Per repository and language, how many files there are and how many of them are written by hand."""
+    files = stored_files(table(spark, root, "files"), "id", "repo", "language")
+    both = files.join(_scored(spark, root), "id")
+    return both.groupBy("repo", "language").agg(F.count("*").alias("files"), F.sum(F.col("hand_written").cast("long")).alias("hand_written"))
+
+
 def _vectors(spark: SparkSession, root: str) -> DataFrame:
     owned = [table(spark, root, t).select(F.lit(t).alias("owner"), "id", "embedding") for t in ("code_chunks", "files", "symbols")]
     return owned[0].unionByName(owned[1]).unionByName(owned[2])
