@@ -13,6 +13,7 @@ from codelode.llm.provenance import not_hand_written
 from codelode.llm.secrets import find_secrets, redact
 from codelode.llm.spans import shared_chars, shared_spans
 from codelode.llm.splitting import split_oversized
+from codelode.llm.syntax import parse_files, parse_rates
 from codelode.sources.tables import stored_files, table
 
 QUERIES: dict = {}
@@ -79,6 +80,24 @@ def p3_rates(spark: SparkSession, root: str) -> DataFrame:
     return both.groupBy("repo", "language").agg(F.count("*").alias("files"), F.sum(F.col("hand_written").cast("long")).alias("hand_written"))
 
 
+@query
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Files whose text is no valid file of their language."""
+    return parse_files(_texts(spark, root)).where(~F.col("valid")).select("file_id")
+
+
+@query
+def p5_failures(spark: SparkSession, root: str) -> DataFrame:
+    """Where and why they fail."""
+    return parse_files(_texts(spark, root)).where(~F.col("valid"))
+
+
+@query
+def p5_rates(spark: SparkSession, root: str) -> DataFrame:
+    """The rates per repository and language."""
+    return parse_rates(parse_files(_texts(spark, root)), stored_files(table(spark, root, "files"), "id", "repo"))
+
+
 def _vectors(spark: SparkSession, root: str) -> DataFrame:
     owned = [table(spark, root, t).select(F.lit(t).alias("owner"), "id", "embedding") for t in ("code_chunks", "files", "symbols")]
     return owned[0].unionByName(owned[1]).unionByName(owned[2])
