@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["catalogue", "search", "graph", "general"]
+_MODULES = ["catalogue", "search", "graph", "extraction", "upkeep", "general"]
 
 
 def core() -> tuple[dict, dict]:
