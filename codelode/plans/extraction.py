@@ -67,7 +67,6 @@ _LINES = """,
 l AS (SELECT id AS chunk_id, coalesce(nullif(symbol_name, ''), parent_symbol) AS source_symbol_name, start_line, unnest(string_split(content, chr(10))) AS line, unnest(range(0, len(string_split(content, chr(10))))) AS off FROM c)
 """
 _KEEP = f"target_name NOT IN ({_NO}) AND (source_symbol_name IS NULL OR target_name <> source_symbol_name)"
-query("x_references")(_refs)
 query("x_references_members", sql(_LINES + rf"""
 SELECT DISTINCT * FROM (SELECT chunk_id, source_symbol_name, unnest(regexp_extract_all(line, '\.([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1)) AS target_name, start_line + off AS line_no FROM l) WHERE {_KEEP}"""))(
     lambda ix: _refs(ix).where("reference_kind = 'member_call'").drop("reference_kind"))
@@ -76,6 +75,15 @@ w AS (SELECT chunk_id, source_symbol_name, unnest(regexp_extract_all(line, '[\p{
 SELECT DISTINCT * FROM w WHERE regexp_full_match(target_name, '[A-Z][A-Za-z0-9_]*') AND {_KEEP}"""))(
     lambda ix: _refs(ix).where("reference_kind = 'type_reference'").drop("reference_kind"))
 
+# a space behind each bracket leaves every call a character of its own to stand behind
+_CALLS = rf"""SELECT DISTINCT chunk_id, source_symbol_name, target_name, 'call' AS reference_kind, line_no FROM (
+  SELECT chunk_id, source_symbol_name, unnest(regexp_extract_all(replace(line, '(', '( '), '(?:^|[^.\p{{L}}\p{{M}}\p{{N}}_])([a-z_][A-Za-z0-9_]*)\s*\(', 1)) AS target_name, start_line + off AS line_no FROM l) WHERE {_KEEP}"""
+query("x_references", sql(_LINES + rf""",
+w AS (SELECT chunk_id, source_symbol_name, unnest(regexp_extract_all(line, '[\p{{L}}\p{{M}}\p{{N}}_]+')) AS target_name, start_line + off AS line_no FROM l)
+SELECT DISTINCT chunk_id, source_symbol_name, target_name, 'type_reference' AS reference_kind, line_no FROM w WHERE regexp_full_match(target_name, '[A-Z][A-Za-z0-9_]*') AND {_KEEP}
+UNION ALL SELECT DISTINCT chunk_id, source_symbol_name, target_name, 'member_call', line_no FROM (SELECT chunk_id, source_symbol_name, unnest(regexp_extract_all(line, '\.([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1)) AS target_name, start_line + off AS line_no FROM l) WHERE {_KEEP}
+UNION ALL {_CALLS}"""))(_refs)
+
 
 def _enclosing(ix: Index):
     refs = ix.references("id", "source_file_id", "line_no").withColumnRenamed("source_file_id", "file_id")

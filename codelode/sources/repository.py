@@ -78,7 +78,7 @@ def excluded(path: Column, patterns: tuple[str, ...] | list[str] = tuple(EXCLUDE
 
 def text_of(content: Column) -> Column:
     """Bytes as UTF-8 text; what is no UTF-8 becomes the replacement character."""
-    return F.decode(content, "UTF-8")
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def line_count(text: Column) -> Column:
