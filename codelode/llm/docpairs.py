@@ -141,22 +141,26 @@ _C_LIKE = (
 C_LIKE = ("javascript", "typescript", "java", "go", "c", "csharp", "swift", "rust")
 _BLOCK_WORDS = "if for foreach while switch catch class interface struct enum impl namespace package import return new else do try extension protocol trait guard match lock using".split()
 
+#: Words that control blocks in some of the languages and may be names in the others.
+_OWN_WORDS = ("match", "lock", "using", "guard", "extension", "protocol", "trait", "impl", "namespace", "foreach")
+
 
 def brace_functions(texts: DataFrame) -> DataFrame:
     """(file_id, name, signature, docstring, start_line, end_line) of functions in languages with braces."""
-    source = texts.where(F.col("language").isin(*C_LIKE)).select("file_id", F.replace("content", F.lit("\r\n"), F.lit("\n")).alias("content"))
+    source = texts.where(F.col("language").isin(*C_LIKE)).select("file_id", "language", F.replace("content", F.lit("\r\n"), F.lit("\n")).alias("content"))
     # tokens and the text between them alternate, so that lines can be summed up
     tokens = source.select(
-        "file_id", F.posexplode(F.split(F.regexp_replace("content", "(" + _C_LIKE + ")", "\u0001$1\u0001"), "\u0001")).alias("pos", "token")
+        "file_id", "language", F.posexplode(F.split(F.regexp_replace("content", "(" + _C_LIKE + ")", "\u0001$1\u0001"), "\u0001")).alias("pos", "token")
     )
     order = Window.partitionBy("file_id").orderBy("pos")
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
     newlines = F.length("token") - F.length(F.replace("token", F.lit("\n")))
     tokens = tokens.select(
-        "file_id", "pos", "token", (F.coalesce(F.sum(newlines).over(upto), F.lit(0)) + 1).cast("int").alias("line"), (F.col("pos") % 2 == 1).alias("real"), newlines.alias("nl")
+        "file_id", "language", "pos", "token", (F.coalesce(F.sum(newlines).over(upto), F.lit(0)) + 1).cast("int").alias("line"), (F.col("pos") % 2 == 1).alias("real"), newlines.alias("nl")
     )
+    called = F.col("token").isin(*_OWN_WORDS) & F.lead("token", 1, "").over(order).rlike(r"^\s*\(")
     kind = (
-        F.when(~F.col("real"), "gap").when(F.col("token").startswith("//") | F.col("token").startswith("/*"), "comment").when(F.col("token").rlike("^[\"'`]"), "literal")
+        F.when(~F.col("real"), "gap").when(called, "call").when(F.col("token").startswith("//") | F.col("token").startswith("/*"), "comment").when(F.col("token").rlike("^[\"'`]"), "literal")
         .when(F.col("token").isin("{", "}", ";"), F.col("token")).when(F.col("token").isin("=>", *_BLOCK_WORDS), "word").otherwise("call")
     )
     tokens = tokens.withColumn("kind", kind)
@@ -180,6 +184,7 @@ def brace_functions(texts: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("kind").isin("comment", "{", "}"), F.struct("pos", "token")))), lambda x: x["token"]), "").alias("signature"),
     )
     found = pairs.join(heads, ["file_id", "statement"]).where("name is not null and control = 0")
+    found = found.where(~((F.col("language") == "csharp") & F.col("name").isin("lock", "using", "foreach", "fixed")) & ~((F.col("language") == "rust") & (F.col("name") == "match")) & ~((F.col("language") == "swift") & (F.col("name") == "guard")))
     return found.select("file_id", "name", F.trim(F.regexp_replace("signature", r"\s+", " ")).alias("signature"), "docstring", "start_line", "end_line")
 
 
@@ -193,9 +198,10 @@ def indent_functions(texts: DataFrame) -> DataFrame:
     source = texts.where("language = 'python'").select("file_id", F.replace("content", F.lit("\r\n"), F.lit("\n")).alias("content"))
     lines = source.select("file_id", F.posexplode(F.split("content", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
     order = Window.partitionBy("file_id").orderBy("line")
-    quotes = F.size(F.regexp_extract_all("text", F.lit("\"\"\"|'''"), F.lit(0)))
+    count = lambda c: F.size(F.regexp_extract_all(c, F.lit("\"\"\"|'''"), F.lit(0)))
+    quotes = count(F.regexp_replace("text", r"\"\"\".*?\"\"\"|'''.*?'''", ""))  # literals that end on their line open nothing
     inside = F.coalesce(F.sum(quotes).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
-    lines = lines.withColumn("quotes", quotes).withColumn("inside", inside)
+    lines = lines.withColumn("marks", count(F.col("text"))).withColumn("inside", inside)
     lines = lines.withColumn("indent", F.when(~F.col("inside") & F.col("text").rlike(r"^\s*[^\s#]"), F.length(F.regexp_extract("text", r"^[ \t]*", 0))))
     after = order.rowsBetween(1, Window.unboundedFollowing)
     written = F.when(F.col("text").rlike(r"\S"), F.col("line"))
@@ -209,10 +215,10 @@ def indent_functions(texts: DataFrame) -> DataFrame:
     lines = lines.withColumn("header", (~F.col("inside")) & F.col("text").rlike(r"^\s*(?:async\s+)?def\s+\w+\s*\(.*:\s*$"))
     lines = lines.withColumn("block", F.sum(F.col("header").cast("int")).over(order))
     closed = Window.partitionBy("file_id", "block").orderBy("line")
-    seen = F.coalesce(F.sum("quotes").over(closed.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seen = F.coalesce(F.sum("marks").over(closed.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lines = lines.withColumn("opens", F.coalesce(opens, F.lit(False)) & F.col("header")).withColumn("seen", seen)
     lines = lines.withColumn("documented", F.max(F.col("opens").cast("int")).over(Window.partitionBy("file_id", "block")))
-    doc = F.when((F.col("documented") == 1) & ~F.col("header") & (F.col("seen") < 2) & (F.col("quotes") + F.col("seen") > 0), F.struct("line", "text"))
+    doc = F.when((F.col("documented") == 1) & ~F.col("header") & (F.col("seen") < 2) & (F.col("marks") + F.col("seen") > 0), F.struct("line", "text"))
     heads = lines.withColumn("end_line", F.when(F.col("header"), F.coalesce(ends, F.col("last")))).groupBy("file_id", "block").agg(
         F.max(F.when(F.col("header"), F.col("text"))).alias("signature"), F.max(F.when(F.col("header"), F.col("line"))).alias("start_line"), F.max("end_line").alias("end_line"),
         F.array_join(F.transform(F.array_sort(F.collect_list(doc)), lambda x: x["text"]), "\n").alias("docstring"),

@@ -62,7 +62,7 @@ lparam <= '/' / BIN / '**' NAME / '*' NAME? / NAME ('=' test)?
 or <- not (('and' / 'or') not)*
 not <= 'not'* cmp
 cmp <= bits ((CMP / 'in' / 'not' 'in' / 'is' 'not'?) bits)*
-bits <- unary ((BIN / PM / '*') unary)*
+bits <- unary ((BIN / PM / '*' / '@') unary)*
 unary <= (PM / '~')* power
 power <= 'await'? primary ('**' unary)?
 primary <- atom trailer*
@@ -436,8 +436,8 @@ exprh <- unaryh (binop unaryh)*
 binop <= BIN / PM / '*' / '&' / '^'
 unary <- (PM / '!' / '^' / '*' / '&' / '<-')* operand trailer*
 unaryh <- (PM / '!' / '^' / '*' / '&' / '<-')* operandh trailerh*
-trailer <- '.' (NAME / '(' ('type' / type) ')') / '[' (sliced / (type / expr) (',' (type / expr))* ','?) ']' / args / literal
-trailerh <- '.' (NAME / '(' ('type' / type) ')') / '[' (sliced / (type / expr) (',' (type / expr))* ','?) ']' / args
+trailer <- '.' (NAME / '(' ('type' / type) ')') / '[' (sliced / (expr / type) (',' (expr / type))* ','?) ']' / args / literal
+trailerh <- '.' (NAME / '(' ('type' / type) ')') / '[' (sliced / (expr / type) (',' (expr / type))* ','?) ']' / args
 sliced <= expr? ':' expr? (':' expr)?
 args <- '(' ((expr / type) (',' (expr / type))* '...'? ','?)? ')'
 operand <- NUM / STR / 'func' signature block / composite / '(' (expr / type) ')' / NAME / conversion

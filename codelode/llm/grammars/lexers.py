@@ -175,7 +175,9 @@ class TemplateLexer(Lexer):
 
 _PY = re.compile(
     r"(?P<skip>[ \t\f]+|\\\r?\n|#[^\n]*)|(?P<nl>\r?\n)"
-    r"|(?P<string>(?i:[rbfu]|br|rb|fr|rf)?(?:\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^\\']|\\[\s\S]|'(?!''))*'''|\"(?!\"\")(?:[^\"\\\n]|\\[\s\S])*\"|'(?!'')(?:[^'\\\n]|\\[\s\S])*'))"
+    # a replacement field may hold literals in the quotes of the literal around it
+    r"|(?P<string>(?i:f|fr|rf)(?:\"(?!\"\")(?>[^\"\\\n{]|\\[\s\S]|\{\{|\{(?>[^{}\n\"']|\"[^\"\n]*\"|'[^'\n]*'|\{[^{}\n]*\})*\})*+\"|'(?!'')(?>[^'\\\n{]|\\[\s\S]|\{\{|\{(?>[^{}\n\"']|\"[^\"\n]*\"|'[^'\n]*'|\{[^{}\n]*\})*\})*+')"
+    r"|(?i:[rbfu]|br|rb|fr|rf)?(?:\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^\\']|\\[\s\S]|'(?!''))*'''|\"(?!\"\")(?:[^\"\\\n]|\\[\s\S])*\"|'(?!'')(?:[^'\\\n]|\\[\s\S])*'))"
     r"|(?P<name>[^\W\d]\w*)"
     r"|(?P<number>0[xX][0-9a-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?)"
     r"|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|[-+*/%&|^@:=!<>]=|->|\*\*|//|<<|>>|[-+*/%@&|^~<>()\[\]{},:.;=])"
@@ -184,14 +186,14 @@ _PY_KEYWORDS = frozenset(
     "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split()
 )
 _PY_CLASSES = {op: "AUG" for op in "+= -= *= /= //= %= @= &= |= ^= >>= <<= **=".split()} | {op: "CMP" for op in "== != < > <= >=".split()} | {
-    op: "BIN" for op in "/ // % @ & | ^ << >>".split()
+    op: "BIN" for op in "/ // % & | ^ << >>".split()
 } | {"+": "PM", "-": "PM"}
 
 
 class PythonLexer:
     """Layout by indentation: tokens NEWLINE, INDENT and DEDENT."""
 
-    fixed = _PY_KEYWORDS | frozenset("( ) [ ] { } , : . ; = -> := * ** ~ ... AUG CMP BIN PM".split())
+    fixed = _PY_KEYWORDS | frozenset("( ) [ ] { } , : . ; = -> := * ** ~ @ ... AUG CMP BIN PM".split())
 
     def tokens(self, text: str) -> Tokens:
         out = Tokens()
