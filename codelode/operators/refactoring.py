@@ -70,7 +70,7 @@ def coupling_metrics(ix: Index, prefix: str) -> DataFrame:
     )
     instability = F.coalesce(F.try_divide(F.col("ce").cast("double"), (F.col("ca") + F.col("ce")).cast("double")), F.lit(0.0))
     m = m.join(inner, "repo").withColumn("instability", F.round(instability, 6)).withColumn("edges_per_file", F.round(F.col("edges") / F.col("internal_files"), 6))
-    return m.withColumn("label", F.when(F.col("instability") > 0.7, "volatile").when(F.col("instability") < 0.3, "stable").otherwise("balanced"))
+    return m.withColumn("label", F.when(F.col("instability") > 0.7, "volatile").when(F.col("instability") < 0.3, "stable").otherwise("moderate"))
 
 
 def _module_symbols(ix: Index, prefix: str, public_only: bool) -> DataFrame:
@@ -139,12 +139,12 @@ def seam_edges(ix: Index, prefix: str) -> DataFrame:
 
 
 def seam_plan(ix: Index, prefix: str) -> DataFrame:
-    """Per repository what extracting the part takes: interfaces to keep, distinct dependencies to inject, seams to cut, and how hard that is."""
+    """Per repository what extracting the part takes: interfaces to keep, distinct dependencies to inject, references to cut, and how hard that is."""
     files = ix.files("id", "repo", "path").where(under(F.col("path"), prefix)).groupBy("repo").agg(F.count("*").alias("internal_files"))
     interfaces = seam_interfaces(ix, prefix).groupBy("repo").agg(F.count("*").alias("interfaces"))
     deps = seam_dependencies(ix, prefix).groupBy("repo", "symbol_name").agg(F.max("usage_count").alias("most"))
     deps = deps.groupBy("repo").agg(F.count("*").alias("dependencies"), F.sum("most").alias("dependency_usage"))
-    seams = seam_edges(ix, prefix).groupBy("repo").agg(F.count("*").alias("seams"))
+    seams = seam_edges(ix, prefix).groupBy("repo").agg(F.sum("usage_count").alias("seams"))
     out = files.join(interfaces, "repo", "left").join(deps, "repo", "left").join(seams, "repo", "left")
     out = out.fillna(0, ["interfaces", "dependencies", "dependency_usage", "seams"])
     hard = (F.col("interfaces") > 10) | (F.col("dependencies") > 10) | (F.col("seams") > 50)

@@ -102,7 +102,7 @@ x AS ({_ALL}), n AS (SELECT repo, count(*) AS internal_files FROM f WHERE path {
 m AS (SELECT repo, count(DISTINCT external_path) FILTER (direction IN ('outbound', 'ref_outbound')) AS ce, count(DISTINCT external_path) FILTER (direction NOT IN ('outbound', 'ref_outbound')) AS ca, sum(edge_count)::BIGINT AS edges,
   coalesce(sum(edge_count) FILTER (direction IN ('outbound', 'ref_outbound')), 0)::BIGINT AS edges_out FROM x GROUP BY repo),
 k AS (SELECT m.*, internal_files, round(coalesce(ce::DOUBLE / nullif(ca + ce, 0), 0), 6) AS instability, round(edges::DOUBLE / internal_files, 6) AS edges_per_file FROM m JOIN n USING (repo))
-SELECT *, CASE WHEN instability > 0.7 THEN 'volatile' WHEN instability < 0.3 THEN 'stable' ELSE 'balanced' END AS label FROM k"""))(lambda ix: R.coupling_metrics(ix, PREFIX))
+SELECT *, CASE WHEN instability > 0.7 THEN 'volatile' WHEN instability < 0.3 THEN 'stable' ELSE 'moderate' END AS label FROM k"""))(lambda ix: R.coupling_metrics(ix, PREFIX))
 
 _OWN = f"own AS (SELECT f.repo, s.id AS symbol_id, s.name, s.name_lc, s.qualified_name, s.kind, s.signature, s.visibility, s.start_line, s.end_line, s.container_symbol, s.is_exported, f.path AS file_path FROM s JOIN f ON s.file_id = f.id WHERE f.path {_IN})"
 _XREF = f"xref AS (SELECT f.repo, r.name_lc, f.path AS consumer, r.reference_kind AS kind FROM r JOIN f ON r.source_file_id = f.id WHERE f.path {_OUT})"
@@ -130,5 +130,5 @@ p AS (SELECT n.repo, internal_files, coalesce(interfaces, 0) AS interfaces, coal
   FROM (SELECT repo, count(*) AS internal_files FROM f WHERE path {_IN} GROUP BY repo) n
   LEFT JOIN (SELECT repo, count(*) AS interfaces FROM iface GROUP BY repo) a USING (repo)
   LEFT JOIN (SELECT repo, count(*) AS dependencies, sum(most)::BIGINT AS dependency_usage FROM (SELECT repo, symbol_name, max(usage_count) AS most FROM sd GROUP BY ALL) GROUP BY repo) b USING (repo)
-  LEFT JOIN (SELECT repo, count(*) AS seams FROM se GROUP BY repo) k USING (repo))
+  LEFT JOIN (SELECT repo, sum(usage_count)::BIGINT AS seams FROM se GROUP BY repo) k USING (repo))
 SELECT *, CASE WHEN interfaces > 10 OR dependencies > 10 OR seams > 50 THEN 'HIGH' WHEN interfaces > 5 OR dependencies > 5 OR seams > 20 THEN 'MODERATE' ELSE 'LOW' END AS difficulty FROM p"""))(lambda ix: R.seam_plan(ix, PREFIX))
