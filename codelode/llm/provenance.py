@@ -2,9 +2,9 @@
 
 A random forest tells files nobody wrote by hand in their repository from those somebody did. Its features are
 
-- of the text, where it was kept, without its header: compression ratio, entropy of tokens, length of identifiers, share
+- of the text, where it was kept, without its header: compression ratio, entropy of tokens (as a share of the most), length of identifiers, share
   of very short ones, density of comments;
-- of the row: bytes a line, size, lines;
+- of the row: bytes a line, from size and lines (either alone only tells large files from small ones);
 - of the path: which conventions of generators, bundlers and dependency folders its parts follow. Only whole parts
   count, so a folder of one's own about vendors or bundles is none.
 
@@ -51,7 +51,7 @@ NOTICE = re.compile(
     r"|\bchanges (?:to this file )?(?:will|may) be (?:lost|overwritten)\b|\bthis (?:file|code) (?:is|was) (?:auto(?:matically)?[- ]?)?generated\b"
 )
 TEXT_FEATURES = "compression entropy identifiers short comments".split()
-FEATURES = [*TEXT_FEATURES, "line_bytes", "long_lines", "size", "lines", "vendor_dir", "output_dir", "asset_dir", "versioned", "generated_name", "minified_name", "depth"]
+FEATURES = [*TEXT_FEATURES, "line_bytes", "long_lines", "vendor_dir", "output_dir", "asset_dir", "versioned", "generated_name", "minified_name", "depth"]
 
 _TOKEN = re.compile(r"[A-Za-z_]\w*|\d+|[^\s\w]")
 _COMMENT = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|(?m:^[ \t]*#[^\n]*)|\"\"\"[\s\S]*?\"\"\"")
@@ -79,7 +79,7 @@ def text_features(text: str | None) -> tuple[float, ...]:
     names = [(w, n) for w, n in counts.items() if w[0].isalpha() or w[0] == "_"]
     named = sum(n for _, n in names) or 1
     return (
-        len(zlib.compress(raw, 3)) / len(raw), entropy, sum(len(w) * n for w, n in names) / named, sum(n for w, n in names if len(w) < 3) / named,
+        len(zlib.compress(raw, 3)) / len(raw), entropy / math.log2(total + 1), sum(len(w) * n for w, n in names) / named, sum(n for w, n in names if len(w) < 3) / named,
         sum(len(c) for c in _COMMENT.findall(body)) / len(body), notice,
     )
 
@@ -121,7 +121,7 @@ def features(files: DataFrame, texts: DataFrame | None) -> DataFrame:
         rows = rows.withColumns({c: F.lit(None).cast("double") for c in [*TEXT_FEATURES, "notice"]})
     line = F.when(F.col("line_count") > 0, F.col("size_bytes") / F.col("line_count"))
     rows = rows.withColumns({
-        "line_bytes": F.coalesce(F.log1p(line), F.lit(-1.0)), "long_lines": F.coalesce((line > LONG_LINE).cast("double"), F.lit(-1.0)), "size": F.coalesce(F.log1p("size_bytes"), F.lit(-1.0)), "lines": F.coalesce(F.log1p("line_count"), F.lit(-1.0)),
+        "line_bytes": F.coalesce(F.log1p(line), F.lit(-1.0)), "long_lines": F.coalesce((line > LONG_LINE).cast("double"), F.lit(-1.0)),
     } | path_features(F.col("path")) | {c: F.coalesce(c, F.lit(-1.0)) for c in TEXT_FEATURES})
     by_name = (F.col("vendor_dir") + F.col("output_dir") + F.col("generated_name") + F.col("minified_name")) > 0
     library = (F.col("versioned") > 0) & (F.col("depth") > 1)
@@ -142,7 +142,7 @@ def not_hand_written(files: DataFrame, texts: DataFrame | None = None, sample: i
     total = sum(r["count"] for r in known)
     some = rows.sample(sample / total, seed=seed).limit(sample) if total > sample else rows
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=8, maxBins=64, featureSubsetStrategy="0.6", seed=seed, labelCol="label", featuresCol="features")
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=8, maxBins=64, minInstancesPerNode=3, featureSubsetStrategy="0.6", seed=seed, labelCol="label", featuresCol="features")
     model = forest.fit(vector.transform(some).coalesce(8))
     scored = model.transform(vector.transform(rows)).select("id", vector_to_array("probability")[1].alias("score"))
     return scored.withColumn("hand_written", F.col("score") < 0.5)
