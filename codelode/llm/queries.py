@@ -113,7 +113,7 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
 def p6_nearest(spark: SparkSession, root: str) -> DataFrame:
     """The five most similar rows of every row whose id is divisible by 100, against all rows of its table."""
     vectors = _vectors(spark, root)
-    return nearest(vectors.where("id % 100 = 0"), vectors)
+    return nearest(vectors.where("id % 100 = 0"), vectors).withColumn("similarity", F.round("similarity", 5))
 
 
 @query
@@ -173,3 +173,33 @@ dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELE
 eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e WHERE len(w) >= 12))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
 """
+
+_USABLE = " UNION ALL ".join(
+    f"SELECT DISTINCT ON (id) '{t}' AS owner, id, embedding::DOUBLE[] AS e FROM {t} WHERE id IS NOT NULL AND len(embedding) = 64 "
+    "AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+    for t in ("code_chunks", "files", "symbols")
+)
+_SIMILAR = f"""
+WITH v AS ({_USABLE}), u AS (SELECT owner, id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v)
+"""
+# all pairs: the brute force that the index is measured against
+ORACLE["p6_found"] = _SIMILAR + """,
+p AS (SELECT a.owner, a.id AS me, b.id AS you, list_dot_product(a.e, b.e) AS s FROM u a JOIN u b ON a.owner = b.owner AND a.id <> b.id),
+t AS (SELECT owner, me, you, s FROM p QUALIFY row_number() OVER (PARTITION BY owner, me ORDER BY s DESC, you) <= 5)
+SELECT x.owner, x.me AS id_a, x.you AS id_b FROM t x JOIN t y ON x.owner = y.owner AND x.me = y.you AND x.you = y.me WHERE x.me < x.you AND x.s >= 0.95
+"""
+ORACLE["p6_nearest"] = _SIMILAR + """,
+p AS (SELECT a.owner, a.id, b.id AS neighbour, list_dot_product(a.e, b.e) AS s FROM u a JOIN u b ON a.owner = b.owner AND a.id <> b.id WHERE a.id % 100 = 0)
+SELECT owner, id, neighbour, round(s, 5) AS similarity, row_number() OVER (PARTITION BY owner, id ORDER BY s DESC, neighbour) AS place FROM p QUALIFY place <= 5
+"""
+_SPANS = """
+WITH x AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 300),
+w AS (SELECT doc_id, unnest(range(1, length(text) - 298)) AS pos, text FROM x),
+h AS (SELECT doc_id, pos, md5_number(text[pos:pos + 299]) AS k FROM w),
+q AS (SELECT k FROM h GROUP BY k HAVING min(doc_id) <> max(doc_id)),
+c AS (SELECT DISTINCT doc_id, pos FROM h WHERE k IN (SELECT k FROM q)),
+g AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 300 THEN 0 ELSE 1 END AS new FROM c)),
+s AS (SELECT doc_id, min(pos) - 1 AS begin_, max(pos) + 299 AS "end" FROM g GROUP BY doc_id, island)
+"""
+ORACLE["p10_spans"] = _SPANS + 'SELECT doc_id, begin_ AS "start", "end" FROM s'
+ORACLE["p10_found"] = _SPANS + 'SELECT doc_id, sum("end" - begin_)::BIGINT AS shared_chars FROM s GROUP BY doc_id'
