@@ -96,7 +96,10 @@ SELECT r.id, r.source_file_id AS file_id, r.line_no, b.cid AS enclosing_chunk_id
 query("x_clean_type", sql(r"""SELECT DISTINCT target_name, split_part(regexp_replace(regexp_replace(trim('Core.' || target_name || '<Row>?'), '[?!]+$', ''), '<.*?>', '', 'g'), '.', -1) AS bare FROM r WHERE target_name IS NOT NULL"""))(
     lambda ix: ix.references("id", "target_name").where("target_name is not null").select("target_name", extraction.clean_type(F.concat(F.lit("Core."), "target_name", F.lit("<Row>?"))).alias("bare")).distinct())
 query("x_swift_edges")(lambda ix: extraction.service_edges(texts(ix).where("language = 'swift'"), ix.chunks("id", "file_id", "start_line", "end_line", "symbol_name", "symbol_type", "parent_symbol")))
-query("x_symbol_rows")(lambda ix: extraction.symbol_rows(ix.symbols("id", "file_id", "name", "qualified_name", "container_symbol", "start_line", "parent_id")))
+query("x_symbol_rows", sql("""
+SELECT s.id, s.file_id, s.name, s.qualified_name, s.container_symbol, s.start_line, s.parent_id, x.pid AS resolved_parent_id FROM s LEFT JOIN (
+  SELECT m.id, p.id AS pid FROM s m JOIN s p ON p.file_id = m.file_id AND p.qualified_name = split_part(m.qualified_name, ':', 1) || ':' || m.container_symbol AND p.start_line <= m.start_line
+  QUALIFY row_number() OVER (PARTITION BY m.id ORDER BY p.start_line DESC, p.id DESC) = 1) x ON x.id = s.id"""))(lambda ix: extraction.symbol_rows(ix.symbols("id", "file_id", "name", "qualified_name", "container_symbol", "start_line", "parent_id")))
 
 
 def _chunks(ix: Index):
