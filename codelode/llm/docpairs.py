@@ -133,8 +133,8 @@ def symbol_pairs(symbols: DataFrame, least: int = 4) -> DataFrame:
 
 # Lexers: one alternative per kind of token that carries structure; the text between is skipped.
 _C_LIKE = (
-    r"//[^\n]*|/\*[\s\S]*?\*/"
-    r"|\"\"\"[\s\S]*?\"\"\"|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|`[^`\\]*+(?:\\.[^`\\]*+)*+`|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+    r"//[^\n]*|/\*[\s\S]*?(?:\*/|\z)"
+    r"|\"\"\"[\s\S]*?(?:\"\"\"|\z)|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|`[^`\\]*+(?:\\.[^`\\]*+)*+`|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
     r"|[{};]|=>|\b(?:if|for|foreach|while|switch|catch|class|interface|struct|enum|impl|namespace|package|import|return|new|else|do|try|extension|protocol|trait|guard|match|lock|using)\b"
     r"|[A-Za-z_$][\w$]*(?=\s*(?:<[^<>(){};]*>)?\s*\()"
 )

@@ -46,7 +46,7 @@ class Lexer:
         self.semicolons, self.regex = semicolons, regex
         op = "|".join(map(re.escape, self.ops))
         rx = r"|(?P<regex>/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*)" if regex else ""
-        self.pattern = re.compile(rf"(?P<skip>{skip})|(?P<name>{name})|(?P<number>{number})|(?P<string>{string}){rx}|(?P<op>{op})")
+        self.pattern = re.compile(rf"(?P<skip>{skip})|(?P<name>{name})|(?P<number>{number})|(?P<string>{string}){rx}|(?P<bad>/\*)|(?P<op>{op})")
         self.fixed = self.keywords | frozenset(self.ops) | frozenset(self.classes.values()) | {";"}
 
     back = "STR"  # the kind of a literal between back quotes
@@ -65,6 +65,8 @@ class Lexer:
                 raise LexicalError(at, "unterminated literal" if text.startswith(_OPENERS, at) else "illegal character")
             group, value = m.lastgroup, m.group()
             end = m.end()
+            if group == "bad":
+                raise LexicalError(at, "unterminated comment")
             if group == "skip":
                 if "\n" in value:
                     broken = True
@@ -142,6 +144,8 @@ class TemplateLexer(Lexer):
             if m is None:
                 raise LexicalError(at, "unterminated literal" if text.startswith(_OPENERS, at) else "illegal character")
             group, value, end = m.lastgroup, m.group(), m.end()
+            if group == "bad":
+                raise LexicalError(at, "unterminated comment")
             if group == "skip":
                 broken = broken or "\n" in value
                 at = end

@@ -54,7 +54,7 @@ TEXT_FEATURES = "compression entropy identifiers short comments".split()
 FEATURES = [*TEXT_FEATURES, "line_bytes", "long_lines", "vendor_dir", "output_dir", "asset_dir", "versioned", "generated_name", "minified_name", "depth"]
 
 _TOKEN = re.compile(r"[A-Za-z_]\w*|\d+|[^\s\w]")
-_COMMENT = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|(?m:^[ \t]*#[^\n]*)|\"\"\"[\s\S]*?\"\"\"")
+_COMMENT = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|(?m:^[ \t]*#[^\n]*)|\"\"\"[\s\S]*?(?:\"\"\"|\Z)")
 _HEADER = re.compile(r"(?:\s*(?://[^\n]*|#(?!include|define|if|pragma|region)[^\n]*|/\*[\s\S]*?\*/|<!--[\s\S]*?-->|--[^\n]*|;[^\n]*)\n?)+")
 
 

@@ -58,7 +58,7 @@ def check(language: str, text: str) -> tuple[bool | None, int | None, int | None
         mark = _CONFLICT.search(text)
         if mark and text.count("\n", 0, mark.start()) <= line:
             cause = "merge conflict"
-        elif cause == "end" or (cause == "unterminated literal" and "\n" not in text[at:].rstrip() and at > 0):
+        elif cause == "end" or (cause in ("unterminated literal", "unterminated comment") and "\n" not in text[at:].rstrip() and at > 0):
             cause = "truncated"
         elif at == 0 or line <= 12:
             other = next((o for o in _OTHERS if o != language and text.strip() and _attempt(o, text)[0]), None)

@@ -160,6 +160,18 @@ def test_causes():
     assert X.check("python", "(" * 200000)[0] in (False, None)
 
 
+@pytest.mark.parametrize("text", ["/* " * 100_000, "a" * 500_000, "token: abc def " * 20_000, "{" * 50_000, "\"" * 100_000, "x = token\n" * 30_000, "-----BEGIN PRIVATE KEY-----" * 5_000, "foo<" * 50_000])
+def test_long_texts_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    for language in ("javascript", "python", "go"):
+        X.check(language, text)
+    V.text_features(text)
+    K.Scanner(K.Dictionary(WORDS)).find(text)
+    assert time.process_time() - began < 20
+
+
 def test_parse_files(spark):
     rows = [(1, "python", "x = 1", 0), (1, "python", "x = 1", 0), (2, "Python", "x = (", 0), (3, None, "x", 0), (4, "cobol", "x", 0), (5, "go", None, 0), (6, "java", "", 0), (None, "go", "x", 0)]
     got = X.parse_files(spark.createDataFrame(rows, "file_id long, language string, content string, line int"))
