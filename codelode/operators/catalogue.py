@@ -144,14 +144,16 @@ def summarize_args(df: DataFrame, *names: str) -> DataFrame:
 
 def directory_rollup(ix: Index, min_files: int = 3) -> DataFrame:
     """Folders with at least ``min_files`` files: files, chunks and the distinct intent details of their chunks."""
+    files = ix.files("id", "repo", "path").select(F.col("id").alias("file_id"), "repo", directory(F.col("path")).alias("module_path"))
     chunks = ix.chunks("id", "file_id", "intent_detail")
-    per_file = chunks.groupBy("file_id").agg(F.count("*").alias("c"), F.collect_set("intent_detail").alias("details"))
-    files = ix.files("id", "repo", "path").withColumn("module_path", directory(F.col("path")))
-    both = files.join(per_file, F.col("id") == F.col("file_id"), "left")
-    out = both.groupBy("repo", "module_path").agg(
-        F.count("*").alias("file_count"), F.coalesce(F.sum("c"), F.lit(0)).alias("chunk_count"), F.array_distinct(F.flatten(F.collect_list("details"))).alias("details")
-    )
-    return out.where(F.col("file_count") >= min_files).withColumn("intent_details", F.array_join(F.sort_array("details"), " | ")).drop("details")
+    per_file = chunks.groupBy("file_id").agg(F.count("*").alias("c"))
+    keys = ["repo", "module_path"]
+    out = files.join(per_file, "file_id", "left").groupBy(*keys).agg(F.count("*").alias("file_count"), F.coalesce(F.sum("c"), F.lit(0)).alias("chunk_count"))
+    # details are made distinct before they are gathered, so a hot folder gathers no repeats
+    details = chunks.where("intent_detail is not null").select("file_id", "intent_detail").distinct().join(files, "file_id").select(*keys, "intent_detail").distinct()
+    told = details.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("intent_detail")), " | ").alias("intent_details"))
+    kept = out.where(F.col("file_count") >= min_files).join(told, keys, "left")
+    return kept.withColumn("intent_details", F.coalesce("intent_details", F.lit("")))
 
 
 def dominant_intent(ix: Index) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelode.operators.changefeed import _Store, hash_key, path_key
+from codelode.workspace import settled
 
 KEY = ["repo", "path"]
 
@@ -34,7 +35,7 @@ def skip_unchanged(stored: DataFrame, incoming: DataFrame, force: bool = False)
 def upsert_files(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """(id, repo, path, hash, operation) after an upsert by key: changed rows keep their id, new ones get the next ids.
 
-    Ids follow the order of keys; the offsets come from counts per task range, not from one task that numbers all rows.
+    Ids follow the order of keys; no single task numbers all rows.
     """
     old = stored.select("id", "repo", path_key(F.col("path")).alias("path"), hash_key(F.col("hash")).alias("old_hash"))
     both = old.join(incoming.select("repo", "path", "hash"), KEY, "full_outer")
@@ -47,13 +48,15 @@ def upsert_files(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with ``n`` from 1 in the order given: positions inside each group of ``order[0]`` plus the sizes of the groups before."""
-    group = order[0]
-    sizes = df.groupBy(group).agg(F.count("*").alias("size"))
-    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)  # one row per group
-    offsets = sizes.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
-    inside = F.row_number().over(Window.partitionBy(group).orderBy(*order[1:]))
-    return df.withColumn("i", inside).join(offsets, group).withColumn("n", F.col("i") + F.col("offset")).drop("i", "offset")
+    """``df`` with ``n`` from 1 in the order given: positions inside ranges of about equal size plus the sizes of the ranges before.
+
+    The ranges are cut by sampling, so a hot repository is numbered by many tasks; they are written once, so that sizes and rows agree.
+    """
+    ranged = settled(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = ranged.groupBy("_range").agg(F.count("*").alias("_size")).withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("n", inside).join(offsets, "_range").withColumn("n", F.col("n") + F.col("_offset")).drop("_range", "_offset")
 
 
 def prune(stored: DataFrame, present: DataFrame) -> DataFrame:
