@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions.columns import contains, directory, joined, under
-from codelode.sources.tables import Index
+from codelode.sources.tables import Index, distinct_ids
 
 
 def _per_repo(ix: Index, children: DataFrame, key: str, *aggs: Column) -> DataFrame:
@@ -73,7 +73,8 @@ def stats_view(ix: Index) -> DataFrame:
 def index_size(ix: Index, dimensions: int = 64) -> DataFrame:
     """Row counts and estimated bytes per repository; an embedding takes 4 bytes a number and 8 for itself."""
     files = ix.files("id", "repo").groupBy("repo").agg(F.count("*").alias("file_count"))
-    chunks = _per_repo(ix, ix.chunks("id", "file_id", "content"), "file_id", F.count("*").alias("chunk_count"), F.sum(F.length("content")).alias("content_bytes"))
+    measured = distinct_ids(ix.raw("code_chunks").select("id", "file_id", F.length("content").alias("chars")))  # lengths are shuffled, not texts
+    chunks = _per_repo(ix, measured, "file_id", F.count("*").alias("chunk_count"), F.sum("chars").alias("content_bytes"))
     symbols = _per_repo(ix, ix.symbols("id", "file_id"), "file_id", F.count("*").alias("symbol_count"))
     refs = _per_repo(ix, ix.references("id", "source_file_id"), "source_file_id", F.count("*").alias("ref_count"))
     out = files.join(chunks, "repo", "left").join(symbols, "repo", "left").join(refs, "repo", "left")

@@ -16,25 +16,38 @@ from codelode.sources.tables import Index
 _CHUNK = ["file_path", "language", "content", "symbol_name", "symbol_type", "intent", "intent_detail", "start_line", "end_line"]
 
 
-def _chunks(ix: Index, *more: str, repo: str | None, intent: str | None, language: str | None, path_prefix: str | None) -> DataFrame:
+_TEXT = ["content", "symbol_name", "symbol_type", "intent", "intent_detail", "start_line", "end_line"]
+
+
+def _files(ix: Index, repo: str | None, language: str | None, path_prefix: str | None) -> DataFrame:
     files = ix.files("id", "repo", "path", "language").select(F.col("id").alias("file_id"), "repo", F.col("path").alias("file_path"), "language")
-    chunks = ix.chunks("id", "file_id", "content", "symbol_name", "symbol_type", "intent", "intent_detail", "start_line", "end_line", *more).withColumnRenamed("id", "chunk_id")
-    for test in (repo and F.col("repo") == repo, language and F.col("language") == language, path_prefix and under(F.col("file_path"), path_prefix)):
-        files = files.where(test) if test is not None and test is not False and not isinstance(test, str) else files
-    chunks = chunks.where(F.col("intent") == intent) if intent else chunks
-    return chunks.join(files, "file_id")
+    files = files.where(F.col("repo") == repo) if repo else files
+    files = files.where(F.col("language") == language) if language else files
+    return files.where(under(F.col("file_path"), path_prefix)) if path_prefix else files
+
+
+def _with_text(ix: Index, found: DataFrame) -> DataFrame:
+    """The few rows that were found with the columns of their chunks; texts and vectors of all others are never moved."""
+    rows = ix.raw("code_chunks").select(F.col("id").alias("chunk_id"), *_TEXT).join(found, "chunk_id")
+    return rows.dropDuplicates(["chunk_id"])
 
 
 def search_code(
     ix: Index, query: list[float], limit: int = 20, threshold: float = 0.3, repo: str | None = None, intent: str | None = None, language: str | None = None,
     path_prefix: str | None = None, symbol_type: str | None = None,
 ) -> DataFrame:
-    """The chunks most similar to a vector, similarity strictly above the threshold; an exact scan ending in a top-k."""
-    found = _chunks(ix, "embedding", repo=repo, intent=intent, language=language, path_prefix=path_prefix)
-    found = found.where(F.col("symbol_type") == symbol_type) if symbol_type else found
+    """The chunks most similar to a vector, similarity strictly above the threshold.
+
+    An exact scan: similarities are computed in the scan, only ids above the threshold are shuffled to drop repeats, and the
+    texts of the top rows are fetched last.
+    """
+    rows = ix.raw("code_chunks").where("id is not null")
+    rows = rows.where(F.col("intent") == intent) if intent else rows
+    rows = rows.where(F.col("symbol_type") == symbol_type) if symbol_type else rows
     vector = F.array(*[F.lit(float(x)) for x in query])
-    found = found.withColumn("similarity", cosine(F.col("embedding"), vector)).where(F.col("similarity") > threshold)
-    return found.select("chunk_id", "repo", *_CHUNK, "similarity").orderBy(F.desc("similarity"), "chunk_id").limit(limit)
+    scored = rows.select(F.col("id").alias("chunk_id"), "file_id", cosine(F.col("embedding"), vector).alias("similarity")).where(F.col("similarity") > threshold)
+    top = scored.dropDuplicates(["chunk_id"]).join(_files(ix, repo, language, path_prefix), "file_id").orderBy(F.desc("similarity"), "chunk_id").limit(limit)
+    return _with_text(ix, top).select("chunk_id", "repo", *_CHUNK, "similarity").orderBy(F.desc("similarity"), "chunk_id")
 
 
 def _best(df: DataFrame, limit: int, *order: Column) -> DataFrame:
@@ -47,17 +60,19 @@ def keyword_search(
     ix: Index, text: str, limit: int = 10, repo: str | None = None, intent: str | None = None, language: str | None = None, path_prefix: str | None = None
 ) -> DataFrame:
     """Chunks whose content, symbol or path holds a term: 1, 3 and 2 points a term; max(3 x limit, 20) per repository."""
-    found = _chunks(ix, repo=repo, intent=intent, language=language, path_prefix=path_prefix)
     terms = keyword_terms(text)
 
-    def points(term: str) -> Column:
-        pattern = F.lit(literal_pattern(term))
-        hit = lambda c, n: F.when(F.ilike(c, pattern), n).otherwise(0)
-        return hit(F.col("content"), 1) + hit(F.coalesce("symbol_name", F.lit("")), 3) + hit(F.col("file_path"), 2)
-
-    score = reduce(Column.__add__, [points(t) for t in terms]) if terms else F.lit(0)
-    scored = found.withColumn("keyword_score", score).where("keyword_score > 0").select("chunk_id", "repo", *_CHUNK, "keyword_score")
-    return _best(scored, max(3 * limit, 20), F.desc("keyword_score"), F.col("file_path"), F.col("start_line"), F.col("chunk_id"))
+    def points(*weighted: tuple[Column, int]) -> Column:
+        hits = [F.when(F.ilike(c, F.lit(literal_pattern(t))), n).otherwise(0) for t in terms for c, n in weighted]
+        return reduce(Column.__add__, hits) if hits else F.lit(0)
+
+    rows = ix.raw("code_chunks").where("id is not null")
+    rows = rows.where(F.col("intent") == intent) if intent else rows
+    own = points((F.col("content"), 1), (F.coalesce("symbol_name", F.lit("")), 3))
+    rows = rows.select(F.col("id").alias("chunk_id"), "file_id", F.col("start_line").alias("line"), own.alias("own")).dropDuplicates(["chunk_id"])
+    both = rows.join(_files(ix, repo, language, path_prefix), "file_id").withColumn("keyword_score", F.col("own") + points((F.col("file_path"), 2))).where("keyword_score > 0")
+    best = _best(both.drop("own"), max(3 * limit, 20), F.desc("keyword_score"), F.col("file_path"), F.col("line"), F.col("chunk_id"))
+    return _with_text(ix, best).select("chunk_id", "repo", *_CHUNK, "keyword_score", "place")
 
 
 def semantic_search(ix: Index, text: str, query: list[float], limit: int = 10, threshold: float = 0.3, **filters: str | None) -> DataFrame:
