@@ -40,6 +40,13 @@ def keyword_terms(text: str) -> list[str]:
     return list(dict.fromkeys(terms))[:6]
 
 
+def keyword_terms_of(text: Column) -> Column:
+    """The same terms for a column, as an array."""
+    words = F.split(F.lower(text), r"[^a-z0-9_]+")
+    kept = F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*KEYWORD_STOPWORDS))
+    return F.slice(F.array_distinct(kept), 1, 6)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays in double precision; null if lengths differ, an element is NaN or null, or a norm is 0."""
     x, y = a.cast("array<double>"), b.cast("array<double>")

@@ -40,6 +40,8 @@ query("src_exclude", sql(f"SELECT id, path FROM f WHERE NOT (list_has_any(string
     lambda ix: ix.files("id", "path").where(~repository.excluded(F.col("path"))))
 query("src_walk", sql(_T + f"SELECT repo, path FROM t WHERE language IS NOT NULL AND NOT (list_has_any(string_split(path, '/'), [{_PARTS}]) OR {_ENDS})"))(
     lambda ix: texts(ix).where(F.col("language").isNotNull() & ~repository.excluded(F.col("path"))).select("repo", "path"))
+query("src_gitignore", sql("SELECT id, path FROM f WHERE path NOT IN (SELECT path FROM f WHERE path LIKE 'tests/%')"))(
+    lambda ix: repository.without_ignored(ix.files("id", "path"), ix.files("path").where(F.col("path").startswith("tests/"))).select("id", "path"))
 query("src_hash", sql(_T + "SELECT file_id, sha256(content) AS hash FROM t"))(lambda ix: texts(ix).select("file_id", F.sha2("content", 256).alias("hash")))
 query("src_read_text", sql(_T + "SELECT file_id, length(content) - length(replace(content, chr(10), '')) + 1 AS lines, strlen(content) AS bytes FROM t"))(
     lambda ix: texts(ix).select("file_id", repository.line_count(F.col("content")).cast("long").alias("lines"), F.octet_length("content").cast("long").alias("bytes")))
@@ -114,6 +116,9 @@ query("x_members")(lambda ix: _chunks(ix).select("file_id", F.explode("members")
 query("x_symbols")(lambda ix: chunking.chunk_symbols(_chunks(ix)))
 query("x_docstring")(lambda ix: chunking.chunk_symbols(_chunks(ix)).where("docstring is not null").select("file_id", "name", "start_line", "docstring"))
 query("x_signature")(lambda ix: chunking.chunk_symbols(_chunks(ix)).select("file_id", "name", "start_line", "signature"))
+query("x_name")(lambda ix: chunking.chunk_symbols(_chunks(ix)).select("file_id", "name", "qualified_name", "start_line"))
+query("x_symbol_type")(lambda ix: chunking.chunk_symbols(_chunks(ix)).groupBy("kind", "is_primary_declaration").agg(F.count("*").alias("n")))
+query("x_exported")(lambda ix: chunking.chunk_symbols(_chunks(ix)).where("is_exported").select("file_id", "name", "start_line"))
 query("x_visibility")(lambda ix: chunking.chunk_symbols(_chunks(ix)).groupBy("visibility", "is_exported").agg(F.count("*").alias("n")))
 
 query("e_embed_text", sql("SELECT f.id, f.path || chr(10) || coalesce(f.summary, '') AS text FROM f"))(lambda ix: ix.files("id", "path", "summary").select("id", enrichment.file_text(F.col("path"), F.col("summary")).alias("text")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from codelode.functions.columns import KEYWORD_STOPWORDS, keyword_terms_of
 from codelode.operators import search as S
 from codelode.plans.views import sql
 from codelode.sources.tables import Index
@@ -45,11 +48,15 @@ _ROUND = "similarity"
 
 
 def _rounded(df):
-    from pyspark.sql import functions as F
-
     return df.withColumn(_ROUND, F.round(_ROUND, 6))
 
 
+_STOP = ", ".join(f"'{w}'" for w in KEYWORD_STOPWORDS)
+query("q_keyword_terms", f"""
+WITH w AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 3 AND NOT list_contains([{_STOP}], x)) AS t FROM eval_items),
+o AS (SELECT item_id, word, min(pos) AS pos FROM (SELECT item_id, unnest(t) AS word, unnest(range(len(t))) AS pos FROM w) GROUP BY ALL)
+SELECT item_id, string_agg(word, ' ' ORDER BY pos) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY pos) AS n FROM o) WHERE n <= 6 GROUP BY item_id""")(
+    lambda ix: ix.raw("eval_items").distinct().select("item_id", F.array_join(keyword_terms_of(F.col("text")), " ").alias("terms")).where("terms <> ''"))
 query("q_search_code", sql("," + _SEM.format(n=20) + f"SELECT {_COLS}, round(similarity, 6) AS similarity FROM sem"))(lambda ix: _rounded(S.search_code(ix, _vector(ix))))
 query("q_keyword_search", sql("," + _KEY + f"SELECT {_COLS}, keyword_score, place FROM key"))(lambda ix: S.keyword_search(ix, TEXT))
 query("q_semantic_search", sql("," + _SEM.format(n=10) + "," + _KEY + f""",

@@ -93,6 +93,9 @@ query("dml_run_close", sql(""",
 x AS (SELECT run_id, count(*) FILTER (hash IS NOT NULL) AS indexed, count(*) FILTER (hash IS NULL) AS errors FROM (SELECT DISTINCT ON (scan_id) * FROM file_scans) WHERE run_id IS NOT NULL GROUP BY run_id)
 SELECT runs.id, runs.repo, indexed, 0 AS skipped, 0 AS deleted, errors, indexed + errors AS files_processed, 'completed' AS status FROM runs JOIN x ON x.run_id = runs.id"""))(_closed)
 
+query("dml_run_open", sql("SELECT id, repo FROM runs WHERE completed_at IS NULL AND status = 'running'"))(
+    lambda ix: ix.runs("id", "repo", "completed_at", "status").where("completed_at is null and status = 'running'").select("id", "repo"))
+
 _FEED = """
 WITH feed AS (SELECT DISTINCT event_id, user_id, ts, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' WHEN 'purchase' THEN 'moved' ELSE 'modified' END AS op FROM events),
 x AS (SELECT event_id, ts, op, user_id AS path FROM feed WHERE op <> 'moved' UNION ALL SELECT event_id, ts, 'deleted', user_id FROM feed WHERE op = 'moved' UNION ALL SELECT event_id, ts, 'modified', user_id + 1 FROM feed WHERE op = 'moved')
@@ -105,6 +108,8 @@ def _feed(ix: Index) -> DataFrame:
     return M.split_moves(feed)
 
 
+query("st_created", _FEED + "SELECT path, min(event_id) AS first_event FROM x WHERE op = 'created' GROUP BY path")(
+    lambda ix: _feed(ix).where("op = 'created'").groupBy("path").agg(F.min("event_id").alias("first_event")))
 query("st_latest_state", _FEED + "SELECT path, event_id, op FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC, op DESC) AS n FROM x) WHERE n = 1")(
     lambda ix: M.latest_events(_feed(ix), ["path"], ["ts", "event_id"]).select("path", "event_id", "op"))
 query("st_moved", _FEED + "SELECT event_id, op, path FROM x")(lambda ix: _feed(ix).select("event_id", "op", "path"))
