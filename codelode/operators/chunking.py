@@ -23,9 +23,28 @@ SCHEMA = (
     "members array<struct<name:string,kind:string,signature:string,docstring:string,start_line:int,end_line:int,container:string,visibility:string,is_exported:boolean,declared_in_extension:boolean>>"
 )
 
-_BLANK = re.compile(
-    r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|r#*\"[\s\S]*?\"#*|`(?:[^`\\]|\\[\s\S])*`|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.){0,12}'"
+_COMMENT = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)"
+_QUOTED = r"\"[^\"\\\n]*+(?:\\[\s\S][^\"\\\n]*+)*+\""
+_CHARACTER = r"'(?:[^'\\\n]|\\(?:u\{[^}\n]*\}|(?:u+|[xU])[0-9A-Fa-f]+|[0-7]{1,3}|[^\n]))'"
+_TEXT_BLOCK = r"\"\"\"[\s\S]*?(?:\"\"\"|\Z)"
+# JavaScript and TypeScript: no string begins right after a name, a brace or a tag (there it is an apostrophe in the text between tags), and a slash
+# after an operator opens a regular expression.
+_PATTERN = r"\s*+(?P<%s>/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/)"
+_SCRIPT = (
+    r"`(?:[^`\\]|\\[\s\S])*`|'(?:(?<![\w$}]')(?<![\w/]>')|(?<=\breturn')|(?<=\bcase')|(?<=\bfrom')|(?<=\bimport')|(?<=\btypeof')|(?<=\bin')|(?<=\bof')|(?<=\belse')|(?<=\bdefault'))[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
+    r"|[=(,:;!&|?{\[>](?:(?<!>)|(?<==>))" + _PATTERN % "after_sign" + r"|[rtc](?:(?<=\br)eturn|(?<=\bt)ypeof|(?<=\bc)ase)" + _PATTERN % "after_word"
 )
+_LITERALS = {
+    "javascript": [_QUOTED, _SCRIPT],
+    "java": [_TEXT_BLOCK, _QUOTED, _CHARACTER],
+    "csharp": [r"(?P<quotes>\"{3,})[\s\S]*?(?:(?P=quotes)|\Z)", r"(?:@\$?|\$@)\"(?:[^\"]|\"\")*+\"", _QUOTED, _CHARACTER],
+    "go": [r"`[^`]*`", _QUOTED, _CHARACTER],
+    "rust": [r"\br(?P<hashes>#*)\"[\s\S]*?\"(?P=hashes)", r"\bbr(?P<marks>#*)\"[\s\S]*?\"(?P=marks)", _QUOTED, _CHARACTER],
+    "c": [r"\b(?:u8|[uUL])?R\"(?P<delimiter>[^\s()\\\"]{0,16})\([\s\S]*?\)(?P=delimiter)\"", _QUOTED, r"(?:(?<!\w)|(?<=\b[uUL])|(?<=\bu8))" + _CHARACTER.replace("))'", ")){1,4}'")],
+    "swift": [r"(?P<hashes>#+)(?P<quotes>\"\"\"|\")[\s\S]*?(?P=quotes)(?P=hashes)", _TEXT_BLOCK, _QUOTED],
+}
+_LITERALS |= {"typescript": _LITERALS["javascript"], "tsx": _LITERALS["javascript"], "cpp": _LITERALS["c"]}
+_BLANK = {language: re.compile("|".join([_COMMENT, *rules])) for language, rules in _LITERALS.items()}
 _BLANK_PY = re.compile(r"#[^\n]*|(?i:[rbfu]{0,2})(?:\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')")
 _MODIFIERS = r"(?:(?:public|private|protected|internal|open|fileprivate|static|final|abstract|sealed|partial|async|override|virtual|export|default|declare|readonly|unsafe|extern|inline|const|mutating|required|convenience|lazy|weak|new|native|synchronized|file|pub(?:\([^)]*\))?|@\w+(?:\([^)]*\))?)\s+)*"
 _HEADS: dict[str, list[tuple[str, str]]] = {
@@ -70,8 +89,12 @@ class Declaration:
 
 
 def _blanked(text: str, language: str) -> str:
-    rx = _BLANK_PY if language == "python" else _BLANK
-    return rx.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+    def blank(m: re.Match) -> str:
+        begin = max(m.start(), *(m.start(k) for k in rx.groupindex if k.startswith("after_")), -1)
+        return text[m.start() : begin] + re.sub(r"[^\n]", " ", text[begin : m.end()])
+
+    rx = _BLANK_PY if language == "python" else _BLANK.get(language)
+    return rx.sub(blank, text) if rx else text
 
 
 def visibility_of(language: str, name: str, head: str, container: str | None = None) -> str:
