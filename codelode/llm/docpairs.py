@@ -188,43 +188,69 @@ def brace_functions(texts: DataFrame) -> DataFrame:
     return found.select("file_id", "name", F.trim(F.regexp_replace("signature", r"\s+", " ")).alias("signature"), "docstring", "start_line", "end_line")
 
 
-_LEVELS = (0, 1, 2, 3, 4, 6, 8, 12, 16)
+_LETTER = r"[\p{L}\p{N}_]"
+_PYTHON = (
+    r"#[^\n]*"
+    rf"|(?:(?<!{_LETTER})[rRbBuUfFtT]{{1,2}})?+(?:\"\"\"[^\"\\]*+(?:(?:\\[\s\S]|\"(?!\"\"))[^\"\\]*+)*+(?:\"\"\"|\z)|'''[^'\\]*+(?:(?:\\[\s\S]|'(?!''))[^'\\]*+)*+(?:'''|\z)"
+    r"|\"[^\"\\\n]*+(?:\\[\s\S][^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+')"
+    rf"|\\\n|\n[ \t\f]*+|[()\[\]{{}}]|:(?!=)|(?<![\p{{L}}\p{{N}}_.])(?:(?:async[ \t]+)?def[ \t]+{_LETTER}+|(?:class|return|import|while|try|raise|pass|break|continue|del|global|assert)(?!{_LETTER}))"
+)
 
 
 def indent_functions(texts: DataFrame) -> DataFrame:
-    """The same for Python: rows are lines, the parity of triple quotes tells text from code, and a function ends before
-    the next line of code that is indented no deeper.
+    """The same for Python: bracket depth tells the lines of statements from those that go on, a header ends at the first
+    colon outside brackets, and a function ends before the next statement that is indented no deeper.
+
+    Words that open statements only are never within brackets; where one begins a line, the depth starts anew, so a bracket
+    left open in a damaged text costs no later function.
     """
-    source = texts.where("language = 'python'").select("file_id", F.replace("content", F.lit("\r\n"), F.lit("\n")).alias("content"))
-    lines = source.select("file_id", F.posexplode(F.split("content", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
-    order = Window.partitionBy("file_id").orderBy("line")
-    count = lambda c: F.size(F.regexp_extract_all(c, F.lit("\"\"\"|'''"), F.lit(0)))
-    quotes = count(F.regexp_replace("text", r"\"\"\".*?\"\"\"|'''.*?'''", ""))  # literals that end on their line open nothing
-    inside = F.coalesce(F.sum(quotes).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1
-    lines = lines.withColumn("marks", count(F.col("text"))).withColumn("inside", inside)
-    lines = lines.withColumn("indent", F.when(~F.col("inside") & F.col("text").rlike(r"^\s*[^\s#]"), F.length(F.regexp_extract("text", r"^[ \t]*", 0))))
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    written = F.when(F.col("text").rlike(r"\S"), F.col("line"))
-    lines = lines.withColumn("before", F.max(written).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    for n in _LEVELS:
-        lines = lines.withColumn(f"end{n}", F.min(F.when(F.col("indent") <= n, F.struct("line", "before"))).over(after)["before"])
-    lines = lines.withColumn("last", F.max(written).over(Window.partitionBy("file_id")))
-    ends = F.coalesce(*[F.when(F.col("indent") == n, F.col(f"end{n}")) for n in _LEVELS])
-    # the docstring: lines from the first one after the header, while the quotes opened there stay open
-    opens = F.lead("text").over(order).rlike(r"^\s*[rRuU]?(?:\"\"\"|''')")
-    lines = lines.withColumn("header", (~F.col("inside")) & F.col("text").rlike(r"^\s*(?:async\s+)?def\s+\w+\s*\(.*:\s*$"))
-    lines = lines.withColumn("block", F.sum(F.col("header").cast("int")).over(order))
-    closed = Window.partitionBy("file_id", "block").orderBy("line")
-    seen = F.coalesce(F.sum("marks").over(closed.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = lines.withColumn("opens", F.coalesce(opens, F.lit(False)) & F.col("header")).withColumn("seen", seen)
-    lines = lines.withColumn("documented", F.max(F.col("opens").cast("int")).over(Window.partitionBy("file_id", "block")))
-    doc = F.when((F.col("documented") == 1) & ~F.col("header") & (F.col("seen") < 2) & (F.col("marks") + F.col("seen") > 0), F.struct("line", "text"))
-    heads = lines.withColumn("end_line", F.when(F.col("header"), F.coalesce(ends, F.col("last")))).groupBy("file_id", "block").agg(
-        F.max(F.when(F.col("header"), F.col("text"))).alias("signature"), F.max(F.when(F.col("header"), F.col("line"))).alias("start_line"), F.max("end_line").alias("end_line"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(doc)), lambda x: x["text"]), "\n").alias("docstring"),
+    source = texts.where("language = 'python'").select("file_id", F.concat(F.lit("\n"), F.translate(F.replace("content", F.lit("\r\n"), F.lit("\n")), "\u0001", " ")).alias("content"))
+    # tokens and the text between them alternate; the line's end before the first line makes its lines like all others
+    tokens = source.select("file_id", F.posexplode(F.split(F.regexp_replace("content", "(" + _PYTHON + ")", "\u0001$1\u0001"), "\u0001")).alias("pos", "token"))
+    order = Window.partitionBy("file_id").orderBy("pos")
+    newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n")))
+    first, real = F.substring("token", 1, 1), F.col("pos") % 2 == 1
+    bare = F.regexp_replace("token", r"^[rRbBuUfFtT]{1,2}(?=[\"'])", "")
+    kind = (
+        F.when(~real, F.when(F.col("token").rlike(r"\S"), "code").otherwise("blank")).when(first == "\n", "newline").when(first == "\\", "blank").when(first == "#", "comment")
+        .when(first.isin("(", "[", "{"), "open").when(first.isin(")", "]", "}"), "close").when(first == ":", "colon").when(bare.rlike("^[\"']"), "literal")
+        .when(F.col("token").rlike(r"^(?:async[ \t]+)?def[ \t]"), "def").otherwise("word")
     )
-    name = F.regexp_extract("signature", r"def\s+(\w+)", 1)
-    return heads.where("signature is not null").select("file_id", name.alias("name"), F.trim("signature").alias("signature"), "docstring", "start_line", "end_line")
+    tokens = tokens.withColumn("kind", kind).withColumn("line", F.coalesce(F.sum(newlines(F.col("token"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    written = F.when(~F.col("kind").isin("blank", "newline"), F.col("line") + newlines(F.rtrim(F.regexp_replace("token", r"\s+\z", ""))))
+    begins = F.col("kind").isin("def", "word") & (F.lag("token", 1).over(order) == "") & (F.lag("kind", 2).over(order) == "newline")
+    tokens = tokens.withColumn("begins", F.coalesce(begins, F.lit(False))).withColumn("before", F.max(written).over(order))
+    tokens = tokens.withColumn("block", F.sum(F.col("begins").cast("int")).over(order))
+    block = Window.partitionBy("file_id", "block").orderBy("pos")
+    tokens = tokens.withColumn("outside", F.sum(F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)).over(block) <= 0)
+
+    # headers: the blocks that open with def, up to the colon; what stands first in the body may be a docstring
+    whole = Window.partitionBy("file_id", "block")
+    place = lambda kind: F.min(F.when(F.col("outside") & (F.col("kind") == kind), F.col("pos"))).over(whole)
+    heads = tokens.withColumn("follows", F.concat(F.lead("kind", 1, "blank").over(order), F.lit(" "), F.lead("kind", 2, "newline").over(order), F.lit(" "), F.lead("token", 1, "").over(order)))
+    heads = heads.withColumn("colon", place("colon")).withColumn("stop", place("newline")).withColumn("def", F.min(F.when(F.col("begins") & (F.col("kind") == "def"), F.col("pos"))).over(whole))
+    heads = heads.where("def is not null and colon is not null and (stop is null or colon < stop)")
+    said = F.when(F.col("pos") <= F.col("colon"), F.when((F.col("kind") == "newline") | (F.col("token") == "\\\n"), " ").when(F.col("kind") == "comment", "").otherwise(F.col("token")))
+    body = (F.col("pos") > F.col("colon")) & ~F.col("kind").isin("blank", "newline", "comment")
+    alone = (F.col("kind") == "literal") & F.col("follows").rlike(r"^blank (?:newline|comment) |^code \w+ \s*;") & F.col("token").rlike("^[rRuU]?[\"']")
+    inner = F.regexp_replace("token", r"^[rRuU]?(?:\"\"\"([\s\S]*?)(?:\"\"\"|\z)|'''([\s\S]*?)(?:'''|\z)|\"([\s\S]*)\"|'([\s\S]*)')\z", "$1$2$3$4")
+    heads = heads.groupBy("file_id", "block").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(said.isNotNull(), F.struct("pos", said.alias("said"))))), lambda x: x["said"]), "").alias("signature"),
+        F.min(F.when(F.col("pos") == F.col("def"), F.col("line"))).alias("start_line"),
+        F.min_by(F.when(alone, F.concat(F.lit('"""'), inner, F.lit('"""'))), F.when(body, F.col("pos"))).alias("docstring"),
+    ).where(F.col("signature").rlike(rf"def[ \t]+{_LETTER}+\s*[\[(]"))
+
+    # statements by the indent of their first line; a function ends before the next one that is at its level or above
+    opens = F.coalesce(F.lead("begins", 2).over(order), F.lit(False))
+    code = (F.lead("kind", 1).over(order) == "code") | ~F.coalesce(F.lead("kind", 2).over(order), F.lit("newline")).isin("newline", "comment")
+    lines = tokens.withColumn("opens", opens).withColumn("code", code).withColumn("function", opens & (F.lead("kind", 2).over(order) == "def")).withColumn("last", F.max("before").over(Window.partitionBy("file_id")))
+    lines = lines.where("kind = 'newline' and code and (outside or opens)").select("file_id", "pos", "block", (F.length("token") - 1).alias("indent"), "before", "last", "function")
+    lines = lines.withColumn("levels", F.collect_set(F.when(F.col("function"), F.col("indent"))).over(Window.partitionBy("file_id")))
+    lines = lines.withColumn("level", F.explode(F.filter("levels", lambda x: x >= F.col("indent"))))
+    lines = lines.withColumn("end_line", F.coalesce(F.lead("before").over(Window.partitionBy("file_id", "level").orderBy("pos")), F.col("last")).cast("int"))
+    ends = lines.where("function and level = indent").select("file_id", (F.col("block") + 1).alias("block"), "end_line")
+    name = F.regexp_extract("signature", rf"def[ \t]+({_LETTER}+)", 1)
+    return heads.join(ends, ["file_id", "block"]).select("file_id", name.alias("name"), F.trim("signature").alias("signature"), F.coalesce("docstring", F.lit("")).alias("docstring"), "start_line", "end_line")
 
 
 def source_pairs(texts: DataFrame, least: int = 4) -> DataFrame:
