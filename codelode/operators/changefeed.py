@@ -2,7 +2,9 @@
 
 The incoming scans are treated as an append log. A log partition is a hash of the key (repository and
 path), so all records of a key share a partition and hot repositories spread over all of them. A
-record's offset is (receipt time, scan id), in which the log only grows. A run
+record's offset is (receipt time, scan id), in which the log only grows. Records without receipt time have
+partitions of their own, as a scan time says nothing about when a record was appended: the end of such a partition
+is its number of records, and when it moved, the partition is read whole; the sink knows what it has seen. A run
 
 1. plans a batch: per partition the offsets (from, to], where ``from`` is what was committed last;
 2. writes the plan ahead, before any record is read;
@@ -42,15 +44,16 @@ def as_log(scans: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
     """The scans as log records with their partition and offset.
 
     Scans without a hash or without a key or scan time can never be the current state of a file and are left out.
-    A scan without receipt time counts as received when it was made.
+    A scan without receipt time counts as received when it was made, but lies in the partitions from ``partitions`` on.
     """
     keyed = scans.select(
         "repo", path_key(F.col("path")).alias("path_key"), "scan_id", "run_id", hash_key(F.col("hash")).alias("hash_key"), "scanned_at",
-        F.coalesce("received_at", "scanned_at").alias("received_at"),
+        F.coalesce("received_at", "scanned_at").alias("received_at"), F.col("received_at").isNull().alias("unstamped"),
     ).where("hash_key is not null and repo is not null and path_key is not null and scanned_at is not null and scan_id is not null")
-    return keyed.withColumn("log_partition", F.pmod(F.xxhash64("repo", "path_key"), F.lit(partitions)).cast("int")).withColumn(
-        "log_offset", F.struct(F.unix_micros("received_at").alias("us"), F.col("scan_id").alias("scan_id"))
-    )
+    place = F.pmod(F.xxhash64("repo", "path_key"), F.lit(partitions)) + F.when(F.col("unstamped"), partitions).otherwise(0)
+    return keyed.withColumn("log_partition", place.cast("int")).withColumn(
+        "log_offset", F.struct(F.when(F.col("unstamped"), F.lit(0)).otherwise(F.unix_micros("received_at")).cast("long").alias("us"), F.col("scan_id").alias("scan_id"))
+    ).drop("unstamped")
 
 
 def winners(log: DataFrame) -> DataFrame:
@@ -145,10 +148,10 @@ class ChangeCapture:
         left = self._pending(last)
         if left is not None:
             return left
-        ends = log.groupBy("log_partition").agg(F.max("log_offset").alias("end")).collect()  # at most `partitions` rows
+        ends = log.groupBy("log_partition").agg(F.max("log_offset").alias("end"), F.count("*").alias("n")).collect()  # at most twice `partitions` rows
         to = dict(done)
         for r in ends:
-            end = [r["end"]["us"], r["end"]["scan_id"]]
+            end = [r["end"]["us"], r["end"]["scan_id"]] if r["log_partition"] < self.partitions else [0, r["n"]]
             if str(r["log_partition"]) not in done or done[str(r["log_partition"])] < end:
                 to[str(r["log_partition"])] = end
         if to == done:
@@ -165,7 +168,7 @@ class ChangeCapture:
         offsets = self.spark.createDataFrame(bounds, "log_partition int, from_us long, from_id long, to_us long, to_id long")
         lo, hi = F.struct(F.col("from_us").alias("us"), F.col("from_id").alias("scan_id")), F.struct(F.col("to_us").alias("us"), F.col("to_id").alias("scan_id"))
         return log.join(F.broadcast(offsets), "log_partition").where(
-            (F.col("from_us").isNull() | (F.col("log_offset") > lo)) & (F.col("log_offset") <= hi)
+            (F.col("log_partition") >= self.partitions) | (F.col("from_us").isNull() | (F.col("log_offset") > lo)) & (F.col("log_offset") <= hi)
         )
 
     def _state(self, batch: int) -> DataFrame | None:

@@ -1,0 +1,34 @@
+"""Scans without receipt time that arrive late are read by the next run, once."""
+
+from datetime import datetime, timedelta
+
+from codelode.operators.changefeed import ChangeCapture, as_log
+
+SCANS = "scan_id long, run_id long, repo string, path string, hash string, scanned_at timestamp, received_at timestamp"
+FILES = "id long, repo string, path string, hash string, indexed_at timestamp"
+
+
+def scan(i, path, minute, received=None):
+    t = datetime(2025, 1, 1)
+    return (i, 1, "r", path, f"h{i}", t + timedelta(minutes=minute), None if received is None else t + timedelta(minutes=received))
+
+
+def test_late_scans_without_receipt_time(spark, tmp_path):
+    files = spark.createDataFrame([], FILES)
+    cap = ChangeCapture(spark, f"file://{tmp_path}/state", 1)
+    log = [scan(50, "a", 100, 100), scan(60, "b", 90)]
+
+    def run():
+        return sorted(r.scan_id for r in cap.run(spark.createDataFrame(log, SCANS), files).collect())
+
+    assert run() == [50, 60] and run() == []
+    log.append(scan(40, "c", 5))  # made and numbered before all that was committed
+    assert run() == [40] and run() == []
+    log.append(scan(70, "c", 6))
+    planned = cap.plan(as_log(spark.createDataFrame(log, SCANS), 1))
+    cap.process(as_log(spark.createDataFrame(log, SCANS), 1), planned)  # dies before the commit
+    log.append(scan(30, "d", 1))
+    assert set(run()) | set(run()) == {70, 30} and run() == []
+    log.append(scan(40, "c", 5))  # a repeat
+    assert run() == []
+    assert sorted(r.scan_id for r in cap.outstanding(files).collect()) == [30, 50, 60, 70]
