@@ -1,14 +1,19 @@
 """Evaluation texts leaking into training text (problem 9).
 
-Pigeonhole edit matching: an item of w words is cut into b + 1 pieces of at most half the least run. A document within
-b edits of the item holds at least one piece exactly, and so does every run of ``min_run`` consecutive words, as it
-cannot fit between two piece borders. An Aho-Corasick automaton finds the exact pieces in one pass over each text;
-Myers' bit-parallel edit distance, over words, verifies each place; the longest exact run is measured last.
-
-Items are broadcast in blocks of ``block`` items, so the side that is broadcast stays bounded whatever their number.
-
-Defined cases: null or blank texts match nothing; items of fewer than ``min_run`` words match nothing; equal items all
-match; repeated documents or items give one row; extra columns are ignored.
+Pigeonhole edit matching. An item is looked for in two kinds of unit: as a whole, with an error budget of one word in
+``share``, and in its passages, which are every ``passage`` consecutive words, with a budget of ``edits`` words. A unit
+of budget b is cut into b + 1 pieces; a stretch within b edits of it must hold one piece exactly. An Aho-Corasick
+automaton over the pieces of all units finds those in one pass over each text. The places of a unit that overlap are
+united, and Myers' bit-parallel edit distance, over words, decides on each united place once, so the work is linear in
+the text however often a piece repeats. A row comes out if a unit is within its budget. The longest exact run, a second
+output, is read off the matching statistics of the item's suffix automaton over the same places.
+
+Items are broadcast in blocks of at most about ``block_bytes`` of text. With several blocks each is written before the
+next is gathered, so neither the driver nor the executors hold more than one.
+
+Defined cases: null or blank texts match nothing; items shorter than a passage match as a whole only, those of fewer
+than ``least`` words not at all; equal items all match; repeated documents or items give one row (of items that differ
+under one id the least text counts); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, item_id long, run int, distance int, at_word int"
+from codelode.llm.spans import SuffixAutomaton
+from codelode.workspace import settled
+
+SCHEMA = "doc_id long, item_id long, passage_edits int, distance int, run int, at_word int"
 _KEEP = bytes(c if chr(c).isalnum() and chr(c).isascii() and not chr(c).isupper() else 32 for c in range(256))
 
 
@@ -32,9 +40,9 @@ def normal(text: str) -> str:
     return (b" " + b" ".join(words) + b" ").decode("ascii") if words else ""
 
 
-def pieces(n_words: int, most: int) -> list[tuple[int, int]]:
-    """Balanced pieces of at most ``most`` words covering ``n_words``, as (start, end)."""
-    k = -(-n_words // most)
+def pieces(n_words: int, budget: int) -> list[tuple[int, int]]:
+    """``budget`` + 1 balanced pieces of ``n_words`` words, as (start, end): one of them survives ``budget`` edits."""
+    k = budget + 1
     return [(n_words * i // k, n_words * (i + 1) // k) for i in range(k)]
 
 
@@ -62,22 +70,52 @@ def myers(pattern: list[str], text: list[str]) -> tuple[int, int]:
         mv = ph & xv
         if score < best:
             best, end = score, j + 1
+            if not best:
+                break  # no later place can be closer
     return best, end
 
 
+def united(spans: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """Spans within 0..``most``, in order, those that touch united."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        s, e = max(0, s), min(most, e)
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+class Unit:
+    """A stretch of an item that is matched with ``budget`` edits: its passages and the item itself."""
+
+    __slots__ = ("item", "words", "budget", "whole")
+
+    def __init__(self, item: int, words: list[str], budget: int, whole: bool):
+        self.item, self.words, self.budget, self.whole = item, words, budget, whole
+
+
 class Matcher:
-    """The pieces of a block of items in one automaton."""
+    """The pieces of the units of a block of items in one automaton."""
+
+    def __init__(self, items: list[tuple[int, str]], passage: int = 12, edits: int = 1, share: int = 6, least: int = 12):
+        self.words: dict[int, list[str]] = {}
+        self.runs: dict[int, SuffixAutomaton] = {}
+        where: dict[str, list[tuple[Unit, int]]] = defaultdict(list)
+
+        def enter(unit: Unit) -> None:
+            for s, e in pieces(len(unit.words), unit.budget):
+                where[" " + " ".join(unit.words[s:e]) + " "].append((unit, s))
 
-    def __init__(self, items: list[tuple[int, str]], min_run: int):
-        self.min_run, self.words = min_run, {}
-        where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
             words = normal(text).split()
-            if len(words) < min_run:
+            if len(words) < least:
                 continue
             self.words[item_id] = words
-            for s, e in pieces(len(words), min_run // 2):
-                where[" " + " ".join(words[s:e]) + " "].append((item_id, s))
+            enter(Unit(item_id, words, len(words) // share, True))
+            for p in dict.fromkeys(tuple(words[i : i + passage]) for i in range(len(words) - passage + 1)):
+                enter(Unit(item_id, list(p), edits, False))
         self.automaton = ahocorasick.Automaton()
         for k, v in where.items():
             self.automaton.add_word(k, (len(k), v))
@@ -85,77 +123,82 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not where
 
-    def find(self, text: str) -> Iterator[tuple[int, int, int, int]]:
-        """(item, longest exact run, edit distance, first word of the run) of every item that passes verification."""
+    def find(self, text: str) -> Iterator[tuple[int, int | None, int | None, int, int]]:
+        """(item, least edits of a passage, edits of the whole, longest exact run, its first word) of every item with a unit within its budget."""
         s = normal(text) if text and not self.empty else ""
-        if not s:
-            return
-        hits = [(end - size + 1, v) for end, (size, v) in self.automaton.iter(s)]
+        hits = [(end - size + 1, v) for end, (size, v) in self.automaton.iter(s)] if s else []
         if not hits:
             return
         doc = s.split()
-        places: dict[int, set[int]] = defaultdict(set)
+        places: dict[int, dict[Unit, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         word, seen = 0, 0
         for start, v in sorted(hits, key=lambda h: h[0]):
             word += s.count(" ", seen, start)
             seen = start
-            for item_id, offset in v:
-                places[item_id].add(word - offset)  # where the item would begin
-        for item_id, begins in places.items():
-            item = self.words[item_id]
-            m, budget = len(item), len(item) - self.min_run
-            run, at, distance, done = 0, 0, m, -1
-            for b in sorted(begins):
-                lo, hi = max(0, b - budget), min(len(doc), b + m + budget)
-                if lo > done or hi > done:
-                    distance = min(distance, myers(item, doc[lo:hi])[0])
-                    done = hi
-                r, a = _longest(item, doc, b)
-                if r > run:
-                    run, at = r, a
-            if distance <= budget:
-                yield item_id, run, distance, at
-
-
-def _longest(item: list[str], doc: list[str], begin: int) -> tuple[int, int]:
-    """The longest run of equal words with ``item`` laid over ``doc`` from ``begin`` on, and where it starts."""
-    best = at = run = 0
-    for i in range(max(0, -begin), min(len(item), len(doc) - begin)):
-        run = run + 1 if item[i] == doc[begin + i] else 0
-        if run > best:
-            best, at = run, begin + i - run + 1
-    return best, at
-
-
-def leaks(docs: DataFrame, items: DataFrame, min_run: int = 12, block: int = 20_000) -> DataFrame:
-    """Each document with each item of which it holds ``min_run`` consecutive words, or all within as many edits as
-    would leave such a run; see ``SCHEMA``. ``run`` is the longest exact run, ``distance`` the edits to the item.
-
-    One narrow pass over the documents per block of items, no shuffle of texts; the final distinct moves only hits.
+            for unit, offset in v:
+                begin = word - offset  # where the unit would begin
+                places[unit.item][unit].append((begin - unit.budget, begin + len(unit.words) + unit.budget))
+        for item_id, units in places.items():
+            found: dict[bool, int | None] = {True: None, False: None}
+            spans: list[tuple[int, int]] = []
+            for unit, windows in units.items():
+                windows = united(windows, len(doc))
+                spans += windows
+                if found[unit.whole] == 0:
+                    continue
+                for a, b in windows:
+                    d = myers(unit.words, doc[a:b])[0]
+                    if d <= unit.budget and (found[unit.whole] is None or d < found[unit.whole]):
+                        found[unit.whole] = d
+            if found[True] is not None or found[False] is not None:
+                yield item_id, found[False], found[True], *self._run(item_id, doc, united(spans, len(doc)))
+
+    def _run(self, item_id: int, doc: list[str], spans: list[tuple[int, int]]) -> tuple[int, int]:
+        """(words, first word) of the longest exact run of the item within the spans."""
+        automaton = self.runs.get(item_id)
+        if automaton is None:
+            automaton = self.runs[item_id] = SuffixAutomaton(self.words[item_id])
+        best = at = 0
+        for a, b in spans:
+            for end, n in enumerate(automaton.statistics(doc[a:b]), a + 1):
+                if n > best:
+                    best, at = n, end - n
+        return best, at
+
+
+def leaks(docs: DataFrame, items: DataFrame, passage: int = 12, edits: int = 1, share: int = 6, least: int = 12, block_bytes: int = 32 << 20) -> DataFrame:
+    """Each document with each item that leaked into it, see ``SCHEMA``.
+
+    ``passage_edits`` are the edits of the closest passage (null above ``edits``), ``distance`` those of the whole item
+    (null above one in ``share`` of its words), ``run`` the longest exact run of words and ``at_word`` its place.
+    One narrow pass over the documents per block of items, no shuffle of texts; the final aggregate moves only hits.
     """
     spark = docs.sparkSession
-    test = items.where("item_id is not null and text is not null").select("item_id", "text").dropDuplicates(["item_id"])
-    blocks, part = [], []
-    for r in test.toLocalIterator():
-        part.append((r["item_id"], r["text"]))
-        if len(part) == block:
-            blocks.append(part)
-            part = []
-    if part or not blocks:
-        blocks.append(part)
-
-    def scan(shared) -> DataFrame:
+    test = items.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min("text").alias("text"))
+    total = test.agg(F.sum(F.octet_length("text") + 16)).head()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+
+    def scan(n: int) -> DataFrame:
+        part = test.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n) if blocks > 1 else test
+        shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in part.select("item_id", "text").collect()])  # at most about block_bytes
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, min_run)
+            matcher = Matcher(shared.value, passage, edits, share, least)
+            names = ["doc_id", "item_id", "passage_edits", "distance", "run", "at_word"]
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
             for b in batches:
                 out = [(d, *hit) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if d is not None for hit in matcher.find(t or "")]
-                cols = list(zip(*out)) if out else [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                names = ["doc_id", "item_id", "run", "distance", "at_word"]
+                cols = list(zip(*out)) if out else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-        return docs.where("text is not null").select("doc_id", "text").mapInArrow(run, SCHEMA)
-
-    found = reduce(DataFrame.unionByName, [scan(spark.sparkContext.broadcast(b)) for b in blocks])
-    best = F.max_by(F.struct("run", "distance", "at_word"), F.struct("run", -F.col("distance"), -F.col("at_word"))).alias("m")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.run", "m.distance", "m.at_word")
+        found = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+        if blocks > 1:
+            found = settled(found, "leaks")
+            shared.destroy()
+        return found
+
+    found = reduce(DataFrame.unionByName, [scan(n) for n in range(blocks)])
+    best = F.max_by(F.struct("run", "at_word"), F.struct("run", -F.col("at_word"))).alias("m")
+    return found.groupBy("doc_id", "item_id").agg(F.min("passage_edits").alias("passage_edits"), F.min("distance").alias("distance"), best).select(
+        "doc_id", "item_id", "passage_edits", "distance", "m.run", "m.at_word"
+    )

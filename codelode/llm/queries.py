@@ -137,15 +137,16 @@ def p8_packing(spark: SparkSession, root: str) -> DataFrame:
 
 @query
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
-    """Documents that hold twelve consecutive words of an evaluation item."""
-    return leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).where("run >= 12").select("doc_id", "item_id")
+    """Documents that hold a passage of twelve consecutive words of an evaluation item without an edit."""
+    return leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).where("passage_edits = 0").select("doc_id", "item_id")
 
 
 @query
 def p9_items(spark: SparkSession, root: str) -> DataFrame:
-    """Per evaluation item in how many documents it leaked, the longest exact run and the closest copy."""
-    found = leaks(table(spark, root, "documents"), table(spark, root, "eval_items")).where("run >= 12")
-    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run").alias("longest_run"), F.min("distance").alias("least_edits"))
+    """Per evaluation item in how many documents it leaked, word for word or within its error budgets, the longest exact run and the closest copy."""
+    found = leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    exact = F.sum((F.coalesce("passage_edits", F.lit(1)) == 0).cast("long")).alias("exact_documents")
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), exact, F.max("run").alias("longest_run"), F.min("distance").alias("least_edits"))
 
 
 @query

@@ -87,7 +87,7 @@ def test_leaks(spark):
         docs.append((d, text[:50] + " , " + " -\n".join(own[k : k + r.choice([11, 12, 14])]) + "; " + text[50:], "x"))
     docs += [(90, None, "x"), (91, "", "x"), (92, " \n", "x"), (None, items[0][1], "x"), docs[0]]
     items += [(70, None), (71, ""), items[3]]
-    got = L.leaks(spark.createDataFrame(docs, "doc_id long, text string, run string"), spark.createDataFrame(items, "item_id long, text string"), block=7).collect()
+    got = L.leaks(spark.createDataFrame(docs, "doc_id long, text string, run string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=900).collect()
     want = set()
     norm = lambda t: L.normal(t or "").split()
     for d, t, _ in docs:
@@ -95,14 +95,40 @@ def test_leaks(spark):
         for i, x in items:
             if d is not None and any(tuple(norm(x)[k : k + 12]) in grams for k in range(len(norm(x)) - 11)):
                 want.add((d, i))
-    assert {(r.doc_id, r.item_id) for r in got if r.run >= 12} == want and want
+    assert {(r.doc_id, r.item_id) for r in got if r.passage_edits == 0} == want and want
+    assert {(r.doc_id, r.item_id) for r in got if r.run >= 12} == want
     assert len({(r.doc_id, r.item_id) for r in got}) == len(got)
-    assert all(r.distance == distance(norm(dict(items)[r.item_id]), norm({d: t for d, t, _ in docs}[r.doc_id])) for r in got if r.run == len(norm(dict(items)[r.item_id])))
+    text = {d: t for d, t, _ in docs}
+    for d in text:
+        for i, x in items:  # the whole within one edit in six words, by brute force
+            n = len(norm(x))
+            if d is not None and n >= 12:
+                far = distance(norm(x), norm(text[d]))
+                assert {r.distance for r in got if (r.doc_id, r.item_id) == (d, i)} - {None} == ({far} if far <= n // 6 else set()), (d, i)
     none = spark.createDataFrame([], "doc_id long, text string")
     assert L.leaks(none, spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert L.leaks(spark.createDataFrame(docs, "doc_id long, text string, run string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_spread_edits_are_found_and_repetition_stays_linear(spark):
+    import time
+
+    words = [f"w{i}" for i in range(30)]
+    spread = [f"x{i}" if i % 6 == 3 else w for i, w in enumerate(words)]  # five edits, none of them beside another
+    m = L.Matcher([(1, " ".join(words))])
+    assert list(m.find("lead in " + " ".join(spread) + " and out")) == [(1, None, 5, 5, 6)]
+    assert list(m.find(" ".join(words[:11] + ["y"] + words[12:18]))) == [(1, 1, None, 11, 0)]
+    assert list(m.find(" ".join(words[:6] + ["y"] * 20 + words[24:]))) == []  # pieces alone are rejected by the distance
+    assert list(m.find(" ".join(words[4:16]))) == [(1, 0, None, 12, 0)]
+    r = L.Matcher([(1, "a b " * 20), (2, "a " * 40)])
+    spent = []
+    for n in (3_000, 12_000):
+        began = time.perf_counter()
+        assert {h[0] for h in r.find("a b " * n)} == {1} and {h[0] for h in r.find("a " * n)} == {2}
+        spent.append(time.perf_counter() - began)
+    assert spent[1] < 10 * spent[0] + 0.2
+
+
 def shared(docs, least):
     from collections import defaultdict
 
