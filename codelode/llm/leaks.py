@@ -46,12 +46,17 @@ def pieces(n_words: int, budget: int) -> list[tuple[int, int]]:
     return [(n_words * i // k, n_words * (i + 1) // k) for i in range(k)]
 
 
-def myers(pattern: list[str], text: list[str]) -> tuple[int, int]:
-    """(least distance, end) of ``pattern`` against any stretch of ``text``, bit-parallel over the pattern's words."""
-    m = len(pattern)
+def masks(pattern: list[str]) -> dict[str, int]:
+    """For each word of the pattern the places where it stands, as bits."""
     peq: dict[str, int] = defaultdict(int)
     for i, w in enumerate(pattern):
         peq[w] |= 1 << i
+    return dict(peq)
+
+
+def myers(pattern: list[str], text: list[str], peq: dict[str, int] | None = None) -> tuple[int, int]:
+    """(least distance, end) of ``pattern`` against any stretch of ``text``, bit-parallel over the pattern's words."""
+    m, peq = len(pattern), masks(pattern) if peq is None else peq
     mask, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score, best, end = mask, 0, m, m, 0
     for j, w in enumerate(text):
@@ -90,10 +95,22 @@ def united(spans: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
 class Unit:
     """A stretch of an item that is matched with ``budget`` edits: its passages and the item itself."""
 
-    __slots__ = ("item", "words", "budget", "whole")
+    __slots__ = ("item", "words", "budget", "whole", "masks")
 
     def __init__(self, item: int, words: list[str], budget: int, whole: bool):
-        self.item, self.words, self.budget, self.whole = item, words, budget, whole
+        self.item, self.words, self.budget, self.whole, self.masks = item, words, budget, whole, None
+
+    def distance(self, text: list[str]) -> int | None:
+        """The edits to the closest stretch of ``text``, if within the budget.
+
+        Each word of the unit that has no partner costs an edit, so a text with too few of its words is out at once.
+        """
+        if self.masks is None:
+            self.masks = masks(self.words)
+        if sum(map(self.masks.__contains__, text)) < len(self.words) - self.budget:
+            return None
+        d = myers(self.words, text, self.masks)[0]
+        return d if d <= self.budget else None
 
 
 class Matcher:
@@ -147,8 +164,8 @@ class Matcher:
                 if found[unit.whole] == 0:
                     continue
                 for a, b in windows:
-                    d = myers(unit.words, doc[a:b])[0]
-                    if d <= unit.budget and (found[unit.whole] is None or d < found[unit.whole]):
+                    d = unit.distance(doc[a:b])
+                    if d is not None and (found[unit.whole] is None or d < found[unit.whole]):
                         found[unit.whole] = d
             if found[True] is not None or found[False] is not None:
                 yield item_id, found[False], found[True], *self._run(item_id, doc, united(spans, len(doc)))
