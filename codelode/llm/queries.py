@@ -9,7 +9,7 @@ from codelode.llm.docpairs import source_pairs, symbol_pairs
 from codelode.llm.leaks import leaks
 from codelode.llm.neighbours import nearest, similar_pairs
 from codelode.llm.packing import pack_documents
-from codelode.llm.provenance import not_hand_written
+from codelode.llm.provenance import conventions, not_hand_written
 from codelode.llm.secrets import find_secrets, redact
 from codelode.llm.spans import shared_chars, shared_spans
 from codelode.llm.splitting import split_oversized
@@ -72,6 +72,12 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return _scored(spark, root).where(~F.col("hand_written")).select("id")
 
 
+@query
+def p3_conventions(spark: SparkSession, root: str) -> DataFrame:
+    """The convention every file follows, by path and size alone; null for none."""
+    return conventions(stored_files(table(spark, root, "files"), "id", "path", "size_bytes", "line_count"))
+
+
 @query
 def p3_rates(spark: SparkSession, root: str) -> DataFrame:
     """Per repository and language, how many files there are and how many of them are written by hand."""

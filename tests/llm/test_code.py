@@ -4,6 +4,7 @@ import ast
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from codelode.llm import docpairs as D
 from codelode.llm import provenance as V
@@ -92,6 +93,28 @@ def test_provenance(spark):
     assert V.not_hand_written(f.where("id < 30"), None).where("not hand_written").count() == 0
 
 
+def test_the_forest_learns_from_notices_and_text_alone(spark):
+    hand = "import a\n\ndef sort_rows(rows):\n    # by age, then by name\n    return sorted(rows, key=age_then_name)\n"
+    made = "x1=1\n" * 40
+    rows, texts = [], []
+    for i in range(120):
+        generated, noticed = i % 2, i % 4 == 1
+        body = made if generated else hand + f"v{i} = {i}\n"
+        texts.append((i, ("# Code generated by protoc. DO NOT EDIT.\n" if noticed else "") + body))
+        rows.append((i, f"src/a{i}.py" if i % 3 else f"vendor/a{i}.py", len(body), body.count("\n")))
+    f = spark.createDataFrame(rows, "id long, path string, size_bytes int, line_count int")
+    t = spark.createDataFrame(texts, "file_id long, content string")
+    got = {r.id: r for r in V.not_hand_written(f, t).collect()}
+    assert all((got[i].score >= 0.25) == bool(i % 2) for i in got)  # alike whether a notice is there or not
+    moved = {r.id: r for r in V.not_hand_written(f.withColumn("path", F.lit("vendor/x.py")), t).collect()}
+    assert {i: r.score for i, r in moved.items()} == {i: r.score for i, r in got.items()}
+    assert all(r.convention == "vendored" and not r.hand_written for r in moved.values())
+    assert {r.id for r in V.notices(t).collect()} == {i for i in range(120) if i % 4 == 1}
+    plain = V.not_hand_written(f, t.limit(0)).collect()
+    assert all(r.score is None and not r.notice and r.hand_written == (r.convention is None) for r in plain)
+    assert {r.id: r.convention for r in V.conventions(f).collect()} == {i: None if i % 3 else "vendored" for i in range(120)}
+
+
 def test_header_notices_are_hidden_from_the_features():
     plain = "x = 1\ny = call(x)\n"
     assert V.text_features("# Code generated by protoc. DO NOT EDIT.\n" + plain)[:5] == V.text_features(plain)[:5]
