@@ -41,13 +41,13 @@ def p1_pieces(spark: SparkSession, root: str) -> DataFrame:
 @query
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Functions and methods whose documentation describes them."""
-    return symbol_pairs(table(spark, root, "symbols")).select("id")
+    return symbol_pairs(table(spark, root, "symbols"), _texts(spark, root)).select("id")
 
 
 @query
 def p2_pairs(spark: SparkSession, root: str) -> DataFrame:
     """The pairs of code and description."""
-    return symbol_pairs(table(spark, root, "symbols"))
+    return symbol_pairs(table(spark, root, "symbols"), _texts(spark, root))
 
 
 def _texts(spark: SparkSession, root: str) -> DataFrame:

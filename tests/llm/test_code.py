@@ -26,17 +26,71 @@ BAD = [
     ("x", "@param a\n@param b\n@returns"), ("x", "// eslint-disable-next-line no-console"), ("x", "pylint: disable=too-many-locals"), ("x", "/* ==================== */"), ("x", "a = call_other(thing, 3);"), ("x", "n/a"), ("x", "helper"), ("x", "..."),
     ("x", ":param a: the value to use\n:return: the sum of all"), ("x", "todo write proper documentation here later"), ("x", "Add description here"), ("x", "XXX missing docs"), ("x", "```\nfoo bar baz quux one two\n```"),
 ]
-SYMBOLS = "id long, name string, kind string, signature string, docstring string, line int, words string"
 
 
 def test_descriptions_and_their_opposites(spark):
-    rows = [(i, n, "function", "def x():", d, 1, "w") for i, (n, d) in enumerate(GOOD + BAD)]
-    rows += [(900, "a", "class", "s", GOOD[0][1], 1, "w"), (901, "a", "method", None, GOOD[0][1], 1, "w"), (902, "a", "method", "  ", GOOD[0][1], 1, "w"), (903, "a", "method", "s", None, 1, "w"), (904, None, "method", "s", GOOD[0][1], 1, "w"), rows[0], (None, "a", "method", "s", GOOD[0][1], 1, "w")]
-    got = D.symbol_pairs(spark.createDataFrame(rows, SYMBOLS)).collect()
-    assert sorted(r.id for r in got) == [*range(len(GOOD)), 904]
-    text = {r.id: r.description for r in got}
-    assert text[0] == "Keeps at most three copies alive." and text[2] == "Says whether both sides agree yet."
-    assert D.symbol_pairs(spark.createDataFrame([], SYMBOLS)).count() == 0
+    rows = [(i, n, d, "w", 1) for i, (n, d) in enumerate(GOOD + BAD)] + [(904, None, GOOD[0][1], "w", 1), (905, "a", None, "w", 1)]
+    df = spark.createDataFrame(rows, "id long, name string, docstring string, words string, line int")
+    got = {r.id: r.text for r in D.described(df).join(df.select("id", D.description(F.col("docstring")).alias("text")), "id").collect()}
+    assert sorted(got) == [*range(len(GOOD)), 904]
+    assert got[0] == "Keeps at most three copies alive." and got[2] == "Says whether both sides agree yet."
+    assert D.described(df.limit(0)).count() == 0
+
+
+def test_symbols_are_paired_through_the_tokens_of_their_file(spark):
+    texts = spark.createDataFrame([(*f, 0) for f in FILES], "file_id long, language string, content string, pos int")
+    rows = [
+        (10, 1, 7, "f", "method", "public int f(String a)", "x"), (11, 2, 1, "f", "function", " def f(a): ", "x"), (12, 3, 4, "Keep", "function", "func Keep", "x"), (12, 3, 4, "Keep", "function", "func Keep", "x"),
+        (13, 1, 12, "h", "method", "void h()", "Text that the file does not have in this place."), (14, 6, 3, "lock", "function", None, "x"), (15, 6, 3, "lock", "function", "func lock", " "), (16, 6, 3, "lock", "class", "func lock", "x"),
+        (17, 6, 4, "lock", "function", "func lock", "Keeps at most three copies alive."), (18, 99, 1, "f", "function", "f", "Keeps at most three copies alive."), (None, 3, 4, "Keep", "function", "func Keep", "x"), (19, 3, 4, None, "function", "f", "x"),
+    ]
+    symbols = spark.createDataFrame(rows, "id long, file_id long, start_line int, name string, kind string, signature string, docstring string")
+    got = {r.id: (r.signature, r.description) for r in D.symbol_pairs(symbols, texts).collect()}
+    assert got == {10: ("public int f(String a)", "Drops rows older than the limit."), 11: ("def f(a):", "Drops rows older than the limit.\n\nMore of it."), 12: ("func Keep", "Keeps at most three copies alive.")}
+    assert D.symbol_pairs(symbols.limit(0), texts).count() == 0 and D.symbol_pairs(symbols, texts.limit(0)).count() == 0
+
+
+LAYOUTS = """import a from "a";
+
+/* Licence of this file, in words that describe nothing. */
+
+// A remark that stands alone, with a blank line below it.
+
+/** Drops rows older than the limit. */
+export const two = async (a: number, b = (1)): Promise<void> => {
+  const re = /[/]\\//g, t = `x${`y${z}`}{`;
+  run(() => { /* inner */ });
+}; // trailing remark of more than four words
+
+// Keeps at most three
+// copies alive.
+@Deco({ a: 1 })
+export function three<T extends string>(
+  a: T,
+): void {
+  if (a) { four("}"); }
+}
+
+class K {
+  /** Waits until the lock is free again. */
+  get = function (q) {
+    return q;
+  }
+  // Counts how often a row was touched.
+  async five(a) { return 'it\\'s }'; }
+}
+"""
+RUST = "/// Keeps at most three copies alive.\nfn a<'a>(x: &'a str, y: &'a str) -> &'a str {\n    let s = r#\"}\"{\"#; let c = '{';\n    match x { _ => y }\n}\n\n/// Drops rows older than the limit.\npub fn b() {}\n"
+
+
+def test_layouts_of_functions_in_braces(spark):
+    df = spark.createDataFrame([(1, "typescript", LAYOUTS), (2, "rust", RUST), (3, "TypeScript", LAYOUTS.replace("\n", "\r\n")), (4, "kotlin", "/** Keeps at most three copies alive. */\nfun k(a: Int): Int {\n  return a\n}\n")], "file_id long, language string, content string")
+    got = {(r.file_id, r.name, r.start_line, r.end_line): r.description for r in D.source_pairs(df).collect()}
+    want = {("two", 8, 11): "Drops rows older than the limit.", ("three", 16, 20): "Keeps at most three\ncopies alive.", ("get", 24, 26): "Waits until the lock is free again.", ("five", 28, 28): "Counts how often a row was touched."}
+    for i in (1, 3):
+        assert {k[1:]: v for k, v in got.items() if k[0] == i} == want
+    assert {k[1:]: v for k, v in got.items() if k[0] == 2} == {("a", 2, 5): "Keeps at most three copies alive.", ("b", 8, 8): "Drops rows older than the limit."}
+    assert {k[1:] for k in got if k[0] == 4} == {("k", 2, 4)}
 
 
 FILES = [
