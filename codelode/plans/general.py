@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codelode.operators.changefeed import changed_records
+from codelode.operators.changefeed import ChangeCapture, append, changed_records
 from codelode.sources.tables import table
+from codelode.workspace import shared_dir
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
@@ -19,7 +23,18 @@ def p4_changes(spark: SparkSession, root: str) -> DataFrame:
     return found.selectExpr("repo", "path_key AS path", "scan_id", "hash_key AS hash", "change")
 
 
-QUERIES = {"p4_found": p4_found, "p4_changes": p4_changes}
+def p4_increments(spark: SparkSession, root: str) -> DataFrame:
+    """The files still to be indexed after the scans arrived in three parts, each in a run of its own, in no order of time."""
+    scans, files = table(spark, root, "file_scans"), table(spark, root, "files").select("repo", "path", "hash", "indexed_at")
+    home = f"{shared_dir(spark)}/increments-{uuid.uuid4().hex}"
+    capture = ChangeCapture(spark, f"{home}/state", compact_every=2)
+    for part in range(3):
+        append(scans.where(F.pmod(F.xxhash64("scan_id"), F.lit(3)) == part), f"{home}/log")
+        capture.run(spark.read.parquet(f"{home}/log"), files)
+    return capture.outstanding(files).select("scan_id", "change")
+
+
+QUERIES = {"p4_found": p4_found, "p4_changes": p4_changes, "p4_increments": p4_increments}
 
 _P4 = """
 WITH scans AS (
@@ -48,4 +63,5 @@ WHERE s.path IS NULL OR (coalesce(s.hash <> b.hash, true) AND coalesce(b.scanned
 ORACLE = {
     "p4_found": _P4 + "SELECT b.scan_id" + _P4_CASES,
     "p4_changes": _P4 + "SELECT b.repo, b.path, b.scan_id, b.hash, CASE WHEN s.path IS NULL THEN 'new' ELSE 'changed' END AS change" + _P4_CASES,
+    "p4_increments": _P4 + "SELECT b.scan_id, CASE WHEN s.path IS NULL THEN 'new' ELSE 'changed' END AS change" + _P4_CASES,
 }
