@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codelode.llm.docpairs import source_pairs, symbol_pairs
 from codelode.llm.leaks import leaks
-from codelode.llm.neighbours import nearest, similar_pairs
+from codelode.llm.neighbours import copies, nearest, similar_pairs, topk
 from codelode.llm.packing import pack_documents
 from codelode.llm.provenance import conventions, not_hand_written
 from codelode.llm.secrets import find_secrets, redact
@@ -122,6 +122,19 @@ def p6_nearest(spark: SparkSession, root: str) -> DataFrame:
     return nearest(vectors.where("id % 100 = 0"), vectors).withColumn("similarity", F.round("similarity", 5))
 
 
+@query
+def p6_topk(spark: SparkSession, root: str) -> DataFrame:
+    """The same rows through the index: approximate where it brings k rows, exact where it does not."""
+    vectors = _vectors(spark, root)
+    return topk(vectors.where("id % 100 = 0"), vectors).withColumn("similarity", F.round("similarity", 5))
+
+
+@query
+def p6_copies(spark: SparkSession, root: str) -> DataFrame:
+    """The group of equal vectors that every row belongs to, where there is more than one."""
+    return copies(_vectors(spark, root)).where("size > 1")
+
+
 @query
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """The lines of chunks where a credential starts."""
