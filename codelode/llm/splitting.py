@@ -102,28 +102,54 @@ def split_text(text: str, limits: Limits) -> list[tuple[int, int, int]]:
     if n <= limits.chars and total_words <= limits.words:
         return [(0, 0, n)] if n else []
     at, strength = boundaries(text)
-    pieces = max(2, -(-n // limits.chars), -(-total_words // limits.words))
-    while True:
-        step = n / pieces
-        slack = step / 4
+    by_words = total_words * limits.chars > n * limits.words  # targets are equal in what binds
+    words = [m.start() for m in re.finditer(r"\S+", text)] if by_words else []
+    least = max(2, -(-n // limits.chars), -(-total_words // limits.words))
+    most = total_words if by_words else n
+
+    def attempt(pieces: int) -> list[tuple[int, int, int]] | None:
+        """The split with so many targets, if it is within the limits."""
+        targets = [words[i * total_words // pieces] if by_words else round(i * n / pieces) for i in range(1, pieces)]
         cuts = [0]
-        for i in range(1, pieces):
-            target = round(i * step)
+        for i, target in enumerate(targets):
+            slack = ((targets[i + 1] if i + 1 < len(targets) else n) - (targets[i - 1] if i else 0)) / 8  # a quarter of a piece
             lo, hi = bisect_left(at, target - slack), bisect_left(at, target + slack + 1)
             best = max(range(lo, hi), key=lambda k: (strength[k], -abs(at[k] - target)), default=None)
             cut = target if best is None else at[best]
             if cut > cuts[-1]:
                 cuts.append(cut)
         cuts.append(n)
-        out = []
+        out: list[tuple[int, int, int]] = []
         for i in range(len(cuts) - 1):
             start = _overlap_start(text, cuts[i], limits) if i else 0
             out.append((max(start, out[-1][0] + 1) if out else 0, cuts[i], cuts[i + 1]))
-        if all(e - s <= limits.chars and len(text[s:e].split()) <= limits.words for s, _, e in out):
-            return out
-        if pieces > 2 * n:
-            raise AssertionError("no split satisfies the limits")
-        pieces += 1 if pieces < 64 else pieces // 16
+        return out if all(e - s <= limits.chars and len(text[s:e].split()) <= limits.words for s, _, e in out) else None
+
+    # pieces are added until no limit fails: in growing steps, then back to the fewest between the last two counts
+    low, step = least - 1, 1
+    while (found := attempt(min(low + step, most))) is None:
+        if low + step >= most:
+            return _hard(text, limits)
+        low, step = low + step, 2 * step
+    high = low + step
+    while high - low > 1:
+        middle = (low + high) // 2
+        if (fewer := attempt(middle)) is None:
+            low = middle
+        else:
+            found, high = fewer, middle
+    return found
+
+
+def _hard(text: str, limits: Limits) -> list[tuple[int, int, int]]:
+    """The last resort, where overlap and boundaries leave no split: cuts at the limits, without overlap."""
+    out, at, ends = [], 0, [m.end() for m in re.finditer(r"\S+", text)]
+    while at < len(text):
+        word = bisect_left(ends, at + 1) + limits.words - 1
+        end = min(len(text), at + limits.chars, ends[word] if word < len(ends) else len(text))
+        out.append((at, at, end))
+        at = end
+    return out
 
 
 def split_oversized(df: DataFrame, limits: Limits | None = None, key: str = "id", content: str = "content", line: str | None = "start_line") -> DataFrame:

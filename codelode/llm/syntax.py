@@ -60,7 +60,7 @@ def check(language: str, text: str) -> tuple[bool | None, int | None, int | None
             cause = "merge conflict"
         elif cause == "end" or (cause in ("unterminated literal", "unterminated comment") and "\n" not in text[at:].rstrip() and at > 0):
             cause = "truncated"
-        elif at == 0 or line <= 12:
+        else:
             other = next((o for o in _OTHERS if o != language and text.strip() and _attempt(o, text)[0]), None)
             cause = f"other language: {other}" if other else "markup" if text.lstrip()[:1] == "<" else cause
         return False, line, column, cause or "unexpected token"
