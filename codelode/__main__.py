@@ -17,6 +17,7 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--config", action="append", default=[])
     a.add_argument("--force", action="store_true")
     a.add_argument("--no-classify", action="store_true")
+    a.add_argument("--no-gitignore", action="store_true")
     a.add_argument("--repo")
     b = sub.add_parser("synthesize")
     b.add_argument("--index", required=True)
@@ -40,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
         from codelode.pipeline import ingest
         from codelode.sources.repository import load_settings
 
-        print(json.dumps(ingest(spark, args.repo_path, args.index, args.repo, load_settings(*args.config), args.force, not args.no_classify)))
+        print(json.dumps(ingest(spark, args.repo_path, args.index, args.repo, load_settings(*args.config), args.force, not args.no_classify, gitignore=not args.no_gitignore)))
     elif args.command == "synthesize":
         from codelode.pipeline import synthesize
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.functions.columns import under
 from codelode.operators import catalogue, edges, refactoring, search, tracing
+from codelode.operators.enrichment import Offline, embed_query
 from codelode.operators.maintenance import delete_repository
 from codelode.pipeline import StoredIndex
 from codelode.sources.tables import Index
@@ -33,8 +36,10 @@ class CodeIndex:
     def list_repositories(self) -> DataFrame:
         return catalogue.list_repositories(self.ix).orderBy("repo")
 
-    def semantic_search(self, repo: str, query: str, vector: list[float], limit: int = 10, threshold: float = 0.3, **filters: str) -> DataFrame:
+    def semantic_search(self, repo: str, query: str, vector: list[float] | None = None, limit: int = 10, threshold: float = 0.3, provider: Callable[[], object] = Offline, **filters: str) -> DataFrame:
+        """Chunks by meaning and words; without a ``vector`` the provider makes one of the question."""
         self._known(repo)
+        vector = embed_query(query, provider) if vector is None else vector
         return search.semantic_search(self.ix, query, vector, limit, threshold, repo=repo, **filters).orderBy("place")
 
     def find_symbol(self, repo: str, name: str, kind: str | None = None, file: str | None = None) -> DataFrame:

@@ -69,3 +69,20 @@ def joined(values: Column) -> Column:
     """A set of strings as one string, sorted, separated by commas; null for none."""
     kept = F.sort_array(F.array_distinct(F.filter(values, lambda v: v.isNotNull())))
     return F.when(F.size(kept) > 0, F.array_join(kept, ","))
+
+
+def escaped_html(text: Column) -> Column:
+    """Text that stands for itself in HTML: & < > and both quotes as entities; null stays null."""
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    return text
+
+
+def iso_time(time: Column) -> Column:
+    """A timestamp in ISO form in UTC, to the millisecond; null stays null."""
+    return F.concat(F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+
+
+def date_only(time: Column) -> Column:
+    """The day of a timestamp."""
+    return F.date_format(time, "yyyy-MM-dd")

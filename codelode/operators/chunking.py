@@ -9,6 +9,7 @@ declarations are cut greedily by words, each piece carrying the last lines of th
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -72,6 +73,9 @@ _CONTROL = frozenset("if for while switch catch return foreach using lock do els
 _INDENTED = re.compile(r"^(?P<indent>[ \t]*)(?:async\s+)?(?P<kind>def|class)\s+(?P<name>\w+)", re.M)
 
 
+_DOC = re.compile(r"[^\n]*:[ \t]*(?:#[^\n]*)?\n(?:[ \t]*\n)*[ \t]+[rRuU]?(\"\"\"|''')([\s\S]*?)\1")
+
+
 @dataclass
 class Declaration:
     name: str
@@ -149,18 +153,26 @@ class Scanner:
         for m in re.finditer("\n", self.code):
             self.starts.append(m.end())
         self.text = text
+        # every brace with its partner in one pass, and where statements end or bodies open
+        self.marks = [m.start() for m in re.finditer(r"[{};]", self.code)]
+        self.partner: dict[int, int] = {}
+        opened: list[int] = []
+        for at in self.marks:
+            if self.code[at] == "{":
+                opened.append(at)
+            elif self.code[at] == "}" and opened:
+                self.partner[opened.pop()] = at
 
     def _line(self, at: int) -> int:
-        return self.code.count("\n", 0, at) + 1
+        return bisect_right(self.starts, at)
 
     def _close(self, opened: int) -> int:
         """The place of the brace that closes the one at ``opened``."""
-        depth = 0
-        for m in re.finditer(r"[{}]", self.code[opened:]):
-            depth += 1 if m.group() == "{" else -1
-            if depth == 0:
-                return opened + m.start()
-        return len(self.code) - 1
+        return self.partner.get(opened, len(self.code) - 1)
+
+    def _line_end(self, at: int) -> int:
+        end = self.text.find("\n", at)
+        return len(self.text) if end < 0 else end
 
     def _scan(self, begin: int, end: int, heads: list[tuple[str, str]], container: Declaration | None) -> list[Declaration]:
         rules = [(kind, re.compile(r"[ \t]*" + _MODIFIERS + rx)) for kind, rx in heads]
@@ -187,8 +199,13 @@ class Scanner:
         return out
 
     def _head(self, at: int, end: int, rules):
+        mark = bisect_left(self.marks, at)
+        if mark < len(self.marks):  # a head reaches no further than the first brace or semicolon
+            end = min(end, self.marks[mark] + 1)
+        elif self.language in ("c", "cpp"):
+            return None
         for kind, rx in rules:
-            m = rx.match(self.code, at, min(end, at + 4000))
+            m = rx.match(self.code, at, end)
             if m:
                 name = m.groupdict().get("name") or m.groupdict().get("fixed")
                 if name and name not in _CONTROL and self.code[at : m.end()].split("(")[0].split()[0] not in _CONTROL:
@@ -207,7 +224,7 @@ class Scanner:
             last = here.start() + 1
         else:
             last = self._close(here.start()) + 1
-        head = self.text[begin : self.text.find("\n", begin) if "\n" in self.text[begin:] else len(self.text)].strip()
+        head = self.text[begin : self._line_end(begin)].strip()
         row = self._line(begin)
         visibility = visibility_of(self.language, name, head, container.kind if container else None)
         extension = self.language == "swift" and (kind == "extension" or bool(container and container.extension))
@@ -219,13 +236,13 @@ class Scanner:
         return d, (len(self.code) if after < 0 else after + 1)
 
     def _indented(self) -> list[Declaration]:
-        found = []
+        found, code_lines = [], self.code.split("\n")
         for m in _INDENTED.finditer(self.code):
             width = len(m["indent"].expandtabs(8))
             row = self._line(m.start())
             end = row
             for i in range(row, len(self.lines)):
-                line = self.code[self.starts[i] :].split("\n", 1)[0] if i < len(self.starts) else ""
+                line = code_lines[i] if i < len(code_lines) else ""
                 raw = self.lines[i]
                 if line.strip() and len(line) - len(line.lstrip()) <= width and i + 1 > row and not re.match(r"\s*[)\]}]", line):
                     break
@@ -234,8 +251,7 @@ class Scanner:
             start = row
             while start > 1 and self.lines[start - 2].strip().startswith("@") and len(self.lines[start - 2]) - len(self.lines[start - 2].lstrip()) == len(m["indent"]):
                 start -= 1
-            body = self.text[m.end() :]
-            doc = re.match(r"[^\n]*:[ \t]*(?:#[^\n]*)?\n(?:[ \t]*\n)*[ \t]+[rRuU]?(\"\"\"|''')([\s\S]*?)\1", body) if ":" in body.split("\n", 1)[0] else None
+            doc = _DOC.match(self.text, m.end()) if ":" in self.text[m.end() : self._line_end(m.end())] else None
             name = m["name"]
             d = Declaration(name, "class" if m["kind"] == "class" else "function", start, end, row, m.start(), doc[2].strip() if doc else None, self.lines[row - 1].strip(), visibility_of("python", name, ""))
             found.append((width, d))

@@ -173,6 +173,31 @@ def embed(df: DataFrame, text: str, provider: Callable[[], object] = Offline, ba
     return df.mapInPandas(run, schema)
 
 
+def embed_query(text: str, provider: Callable[[], object] = Offline) -> list[float]:
+    """The vector of one question, by the same provider as the index's; a blank question has none."""
+    if not text or not text.strip():
+        raise ValueError("the question is empty")
+    return provider().embed([text])[0]
+
+
+def classify_one(content: str, provider: Callable[[], object] = Offline) -> tuple[str, str]:
+    """(intent, description) of one chunk, as ``classify`` gives them; a failing call gives utility."""
+    try:
+        got = provider().classify([(content or "")[:CHUNK_CHARS]])
+    except Exception:  # noqa: BLE001 - as in classify
+        got = []
+    intent, detail = got[0] if got else ("utility", "")
+    return intent if intent in INTENTS else "utility", detail
+
+
+def analyze_one(content: str, path: str, provider: Callable[[], object] = Offline) -> tuple[str, str]:
+    """(summary, role) of one file, as ``analyze_files`` gives them."""
+    try:
+        return provider().analyze((content or "")[:FILE_CHARS], path or "")
+    except Exception:  # noqa: BLE001
+        return "", "unknown"
+
+
 def classify(df: DataFrame, content: str = "content", provider: Callable[[], object] = Offline) -> DataFrame:
     """``df`` with intent and intent_detail, eight chunks a call and 500 characters a chunk; a failing call gives utility."""
     schema = _with(df, intent=T.StringType(), intent_detail=T.StringType())

@@ -79,22 +79,28 @@ def delete_repository(stored: DataFrame, repo: str, confirm: bool = False) -> tu
     return stored.where(F.col("repo") != repo), stored.where(F.col("repo") == repo).count()
 
 
-def cascade(tables: dict[str, DataFrame], kept: DataFrame) -> dict[str, DataFrame]:
-    """The child tables without the rows of files that are gone: chunks and symbols by file, references by source,
-    dependencies by source or resolved target; symbols of a gone chunk lose the link, not the row.
+def cascade(tables: dict[str, DataFrame], kept: DataFrame, renewed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The child tables without the rows of files that are gone or whose children are replaced (``renewed``, file_id).
+
+    Chunks and symbols go with their file, references with their source file or chunk, dependencies with their source
+    file, a resolved target file or either symbol; symbols of a gone chunk lose the link, not the row. Nulls link nothing.
     """
-    ids = kept.select(F.col("id").alias("_file")).distinct()
-    semi = lambda df, key: df.join(ids, F.col(key) == F.col("_file"), "left_semi")
+    ids = kept.select(F.col("id").alias("_id")).distinct()
+    mine = ids if renewed is None else ids.join(renewed.select(F.col("file_id").alias("_id")).distinct(), "_id", "left_anti")
+
+    def linked(df: DataFrame, key: str, to: DataFrame, null: bool = True) -> DataFrame:
+        there = df.where(F.col(key).isNotNull()).join(to, F.col(key) == F.col("_id"), "left_semi")
+        return there.unionByName(df.where(F.col(key).isNull())) if null else there
+
     out = dict(tables)
-    out["code_chunks"] = semi(tables["code_chunks"], "file_id")
-    out["symbols"] = semi(tables["symbols"], "file_id")
-    out["symbol_references"] = semi(tables["symbol_references"], "source_file_id")
-    deps = semi(tables["dependencies"], "source_file_id")
-    inner, external = deps.where("target_file_id is not null"), deps.where("target_file_id is null")
-    deps = semi(inner, "target_file_id").unionByName(external)
-    symbols = out["symbols"].select(F.col("id").alias("target_symbol_id")).distinct()
-    linked, free = deps.where("target_symbol_id is not null"), deps.where("target_symbol_id is null")
-    out["dependencies"] = linked.join(symbols, "target_symbol_id", "left_semi").unionByName(free)
+    chunks = out["code_chunks"] = linked(tables["code_chunks"], "file_id", mine, False)
+    symbols = linked(tables["symbols"], "file_id", mine, False)
+    held = chunks.select(F.col("id").alias("_id")).distinct()
+    named = symbols.select(F.col("id").alias("_id")).distinct()
+    out["symbols"] = symbols.join(held, F.col("chunk_id") == F.col("_id"), "left").withColumn("chunk_id", F.col("_id")).drop("_id")
+    out["symbol_references"] = linked(linked(tables["symbol_references"], "source_file_id", mine, False), "source_chunk_id", held)
+    deps = linked(linked(tables["dependencies"], "source_file_id", mine, False), "target_file_id", ids)
+    out["dependencies"] = linked(linked(deps, "source_symbol_id", named), "target_symbol_id", named)
     return out
 
 
@@ -103,13 +109,14 @@ def replace_children(children: DataFrame, fresh: DataFrame, key: str = "file_id"
     return children.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
 
 
-def upsert_modules(stored: DataFrame, fresh: DataFrame, kind: str) -> DataFrame:
-    """Module rows after a synthesis of one kind: rows of that kind and of the same repositories are replaced; of fresh rows with one
-    key (repo, module_path) the last by ``updated_at`` stays.
+def upsert_modules(stored: DataFrame, fresh: DataFrame, kind: str, repos: DataFrame | None = None) -> DataFrame:
+    """Module rows after a synthesis of one kind: rows of that kind go in all the repositories that were synthesised (``repos``,
+    by default those in ``fresh``), also where no module of the kind is left; of fresh rows with one key (repo, module_path)
+    the last by ``updated_at`` stays.
     """
     order = Window.partitionBy("repo", "module_path").orderBy(F.desc("updated_at"), F.desc("module_name"))
     last = fresh.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
-    old = stored.where(F.col("kind") == kind).join(fresh.select("repo").distinct(), "repo", "left_semi").select("repo", "module_path", "kind")
+    old = stored.where(F.col("kind") == kind).join((fresh if repos is None else repos).select("repo").distinct(), "repo", "left_semi").select("repo", "module_path", "kind")
     kept = stored.join(old, ["repo", "module_path", "kind"], "left_anti").join(last.select("repo", "module_path"), ["repo", "module_path"], "left_anti")
     return kept.unionByName(last)
 

@@ -16,7 +16,7 @@ from codelode.operators import enrichment, extraction, maintenance, synthesis
 from codelode.operators.catalogue import dominant_intent, directory_rollup
 from codelode.operators.chunking import chunk_files, chunk_symbols
 from codelode.operators.search import resolve_symbols
-from codelode.sources.repository import Settings, walk
+from codelode.sources.repository import Settings, git_ignored, walk, without_ignored
 from codelode.sources.tables import Index
 from codelode.workspace import settled, ship
 
@@ -61,19 +61,22 @@ def _with_ids(df: DataFrame, before: DataFrame, order: list[str]) -> DataFrame:
 
 def ingest(
     spark: SparkSession, source: str, root: str, repo: str | None = None, settings: Settings | None = None, force: bool = False, classify: bool = True, provider: Callable[[], object] = enrichment.Offline,
-    ignored: list[str] | None = None,
+    ignored: list[str] | None = None, gitignore: bool = True,
 ) -> dict[str, int]:
-    """Bring the index at ``root`` up to date with the folder ``source``; counters by status."""
+    """Bring the index at ``root`` up to date with the folder ``source``; counters by status.
+
+    Left out are the paths in ``ignored`` and, in a work tree of git on the driver's disk, those that git ignores.
+    """
     ship(spark)
     settings, repo = settings or Settings(), repo or source.rstrip("/").rsplit("/", 1)[-1]
     ix = StoredIndex(spark, root)
     run_id = (ix.raw("ingestion_runs").agg(F.max("id")).first()[0] or 0) + 1
     started = spark.sql("SELECT current_timestamp() AS t").first()["t"]
     _write_run(ix, (run_id, repo, started, None, None, None, None, "running"))
-    now = walk(spark, source, settings).withColumn("repo", F.lit(repo))
-    if ignored:
-        now = now.join(spark.createDataFrame([(p,) for p in ignored], "path string"), "path", "left_anti")
-    now = settled(now, "walk")
+    now = settled(walk(spark, source, settings).withColumn("repo", F.lit(repo)), "walk")
+    left_out = [*(ignored or []), *(git_ignored(now, source) if gitignore else ())]
+    if left_out:
+        now = without_ignored(now, spark.createDataFrame([(p,) for p in left_out], "path string"))
     stored = ix.files()
     own = stored.where(F.col("repo") == repo)
     state = settled(maintenance.skip_unchanged(own.select("repo", "path", "hash"), now.select("repo", "path", "hash"), force), "status")
@@ -100,14 +103,14 @@ def ingest(
     refs = _with_ids(refs, ix.raw("symbol_references"), ["source_file_id", "line_no", "target_name", "reference_kind", "source_chunk_id"]).withColumn("created_at", F.current_timestamp())
 
     tables = {"code_chunks": ix.raw("code_chunks"), "symbols": ix.raw("symbols"), "symbol_references": ix.raw("symbol_references"), "dependencies": ix.raw("dependencies")}
-    kept = maintenance.cascade(tables, files)
     changed = fresh.select(F.col("id").alias("file_id"))
-    kept = {k: df.join(changed.withColumnRenamed("file_id", key), key, "left_anti") for (k, df), key in zip(kept.items(), ("file_id", "file_id", "source_file_id", "source_file_id"))}
+    kept = maintenance.cascade(tables, files, changed)
     all_symbols = kept["symbols"].unionByName(_shaped(symbols, "symbols"))
+    moved = _relinked(tables["dependencies"], tables["symbols"], changed, files, all_symbols)
     deps = _with_ids(_dependencies(texts, chunks, symbols, all_symbols), ix.raw("dependencies"), ["source_file_id", "kind", "external_module", "target_symbol_id", "source_symbol_id"]).withColumn("created_at", F.current_timestamp())
     ix.snapshots.commit({
         "files": files, "code_chunks": kept["code_chunks"].unionByName(_shaped(chunks, "code_chunks")), "symbols": all_symbols, "symbol_references": kept["symbol_references"].unionByName(_shaped(refs, "symbol_references")),
-        "dependencies": kept["dependencies"].unionByName(_shaped(deps, "dependencies")),
+        "dependencies": kept["dependencies"].unionByName(_shaped(moved, "dependencies")).unionByName(_shaped(deps, "dependencies")),
     })
     counts = {r["status"]: r["count"] for r in state.groupBy("status").count().collect()}
     out = {"indexed": counts.get("indexed", 0), "skipped": counts.get("skipped", 0), "deleted": gone.count(), "errors": 0, "chunks": chunks.count(), "symbols": symbols.count()}
@@ -129,6 +132,20 @@ def _dependencies(texts: DataFrame, chunks: DataFrame, symbols: DataFrame, all_s
     return imports.unionByName(edges)
 
 
+def _relinked(deps: DataFrame, old: DataFrame, changed: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Edges of unchanged files to symbols of re-indexed ones, resolved again: those symbols have new ids now.
+
+    Where the name is declared no more it becomes an external one, so the edge can be resolved late.
+    """
+    renewed = changed.distinct()
+    names = old.join(renewed, "file_id", "left_semi").select(F.col("id").alias("target_symbol_id"), F.col("name").alias("_name")).dropDuplicates(["target_symbol_id"])
+    source = files.select(F.col("id").alias("source_file_id")).join(renewed.withColumnRenamed("file_id", "source_file_id"), "source_file_id", "left_anti")
+    lost = deps.join(source, "source_file_id", "left_semi").join(names, "target_symbol_id").drop("target_symbol_id", "target_file_id")
+    target = resolve_symbols(_Symbols(symbols)).select("name_lc", F.col("symbol_id").alias("target_symbol_id"), F.col("file_id").alias("target_file_id"))
+    found = lost.withColumn("name_lc", F.lower("_name")).join(target, "name_lc", "left")
+    return found.withColumn("external_module", F.when(F.col("target_symbol_id").isNull(), F.col("_name")).otherwise(F.col("external_module")))
+
+
 class _Symbols:
     """Symbols that are not stored yet, as a view for the resolver."""
 
@@ -149,17 +166,17 @@ def synthesize(spark: SparkSession, root: str, mode: str = "all", min_files: int
     if mode not in ("directory", "logical", "all"):
         raise ValueError(f"unknown mode {mode!r}")
     ix = StoredIndex(spark, root)
-    modules = ix.raw("module_intents")
+    modules, repos = ix.raw("module_intents"), ix.files("repo")
     stamp = F.current_timestamp().alias("updated_at")
     if mode in ("directory", "all"):
         d = directory_rollup(ix, min_files).join(dominant_intent(ix), ["repo", "module_path"], "left")
         d = d.select("repo", "module_path", F.lit("directory").alias("kind"), F.element_at(F.split("module_path", "/"), -1).alias("module_name"), F.lit("Directory module").alias("summary"), F.lit("module").alias("role"), "dominant_intent", "file_count", "chunk_count", stamp)
-        modules = settled(maintenance.upsert_modules(modules, _shaped(d, "module_intents"), "directory"), "modules")
+        modules = settled(maintenance.upsert_modules(modules, _shaped(d, "module_intents"), "directory", repos), "modules")
     if mode in ("logical", "all"):
         m = synthesis.logical_modules(ix, min_files, resolution, most, percentile)
         first = F.element_at(F.split("member_symbols", ","), 1)
         slug = F.concat(F.lit("_logical/"), F.regexp_replace(F.lower(first), "[^a-z0-9]+", "-"), F.lit("-"), F.col("community"))
         m = m.select("repo", slug.alias("module_path"), F.lit("logical").alias("kind"), first.alias("module_name"), F.lit("Logical module").alias("summary"), F.lit("module").alias("role"), "file_count", "chunk_count", "member_symbols", stamp)
-        modules = settled(maintenance.upsert_modules(modules, _shaped(m, "module_intents"), "logical"), "modules")
+        modules = settled(maintenance.upsert_modules(modules, _shaped(m, "module_intents"), "logical", repos), "modules")
     ix.snapshots.commit({"module_intents": modules})
     return ix.raw("module_intents").count()

@@ -111,6 +111,17 @@ def ignored_by_git(paths: list[str], root: str | None) -> set[str]:
     return {p for p in run.stdout.split("\0") if p} if run.returncode in (0, 1) else set()
 
 
+def git_ignored(files: DataFrame, root: str) -> set[str]:
+    """Those of a walk's paths that git ignores, where ``root`` is a folder on the driver's disk; none elsewhere.
+
+    Git runs on the driver, so the paths of the one repository, not its texts, pass through it.
+    """
+    local = root.removeprefix("file://")
+    if not Path(local).is_dir():
+        return set()
+    return ignored_by_git([r["path"] for r in files.select("path").toLocalIterator()], local)
+
+
 def without_ignored(files: DataFrame, ignored: DataFrame) -> DataFrame:
     """``files`` whose path is not among the ignored ones."""
     return files.join(ignored.select("path").distinct(), "path", "left_anti")

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from codelode.operators import extraction as X
@@ -105,3 +106,47 @@ def test_chunks_cover_the_file_and_know_their_symbols():
     for broken in ("class {{{", "def", "}}}}", "\x00", "/* never"):
         for language in CASES:
             chunk_text(broken, language, "x")
+
+
+def test_declarations_of_any_length_and_in_linear_time():
+    import time
+
+    from codelode.operators.chunking import Scanner
+
+    long = "int many(" + ",\n    ".join(f"int argument_{i}" for i in range(400)) + ")\n{\n    return 0;\n}\n\nint next(int a)\n{\n    return a;\n}\n"
+    assert [(d.name, d.start, d.end) for d in Scanner(long, "c").declarations()] == [("many", 1, 403), ("next", 405, 408)]
+    spent = []
+    for n in (2_000, 8_000):
+        began = time.perf_counter()
+        assert len(Scanner("package a\n" + "func F(a int) int {\n\treturn a\n}\n" * n, "go").declarations()) == n
+        assert len(Scanner("def f(a):\n    return a\n\n" * n, "python").declarations()) == n
+        spent.append(time.perf_counter() - began)
+    assert spent[1] < 9 * spent[0] + 0.2
+
+
+def test_single_items_and_questions():
+    from codelode.operators.enrichment import Offline, analyze_one, classify_one, embed_query
+
+    class Broken(Offline):
+        def classify(self, chunks):
+            raise RuntimeError("down")
+
+        analyze = None
+
+    assert classify_one("assert mock(spec)") == ("testing", "") and classify_one(None) == ("utility", "") and classify_one("x", Broken) == ("utility", "")
+    assert analyze_one("# Sorts rows.\nx = 1", "a/test_b.py") == ("Sorts rows.", "test suite") and analyze_one("x", "y", Broken) == ("", "unknown")
+    assert embed_query("normalise row") == Offline().embed(["normalise row"])[0]
+    with pytest.raises(ValueError):
+        embed_query("  ")
+
+
+def test_scalars_for_display(spark):
+    from datetime import datetime, timezone
+
+    from pyspark.sql import functions as F
+
+    from codelode.functions.columns import date_only, escaped_html, iso_time
+
+    df = spark.createDataFrame([("<a href=\"x\">'&amp;'</a>", datetime(2025, 3, 4, 5, 6, 7, 891000, tzinfo=timezone.utc)), (None, None), ("", None)], "t string, at timestamp")
+    got = [tuple(r) for r in df.select(escaped_html(F.col("t")), iso_time(F.col("at")), date_only(F.col("at"))).collect()]
+    assert got == [("&lt;a href=&quot;x&quot;&gt;&#39;&amp;amp;&#39;&lt;/a&gt;", "2025-03-04T05:06:07.891Z", "2025-03-04"), (None, None, None), ("", None, None)]

@@ -161,3 +161,19 @@ def test_modules_are_replaced_by_key(spark):
     new = spark.createDataFrame([("r", "b", "directory", "one", datetime(2025, 1, 2)), ("r", "b", "directory", "two", datetime(2025, 1, 3))], s)
     got = {(r.repo, r.module_path, r.module_name) for r in M.upsert_modules(old, new, "directory").collect()}
     assert got == {("r", "_logical/x", "keep"), ("q", "a", "keep"), ("r", "b", "two")}
+    gone = {(r.repo, r.module_path) for r in M.upsert_modules(old, new.limit(0), "directory", spark.createDataFrame([("r",), ("s",)], "repo string")).collect()}
+    assert gone == {("r", "_logical/x"), ("q", "a")}  # no module of the kind is left in r
+
+
+def test_cascade_of_renewed_files_and_symbols(spark):
+    tables = {
+        "code_chunks": spark.createDataFrame([(1, 1), (2, 2)], "id long, file_id long"),
+        "symbols": spark.createDataFrame([(1, 1, 1), (2, 2, 2), (3, 1, 2), (4, 1, None)], "id long, file_id long, chunk_id long"),
+        "symbol_references": spark.createDataFrame([(1, 1, 1), (2, 1, 2), (3, 1, None), (4, 2, 2)], "id long, source_file_id long, source_chunk_id long"),
+        "dependencies": spark.createDataFrame([(1, 1, 2, 1, None), (2, 1, 2, 1, 2), (3, 1, None, 2, None), (4, 2, 1, 2, 1), (5, 1, None, None, None), (6, 1, 9, None, None)], "id long, source_file_id long, target_file_id long, source_symbol_id long, target_symbol_id long"),
+    }
+    kept = spark.createDataFrame([(1,), (2,)], "id long")
+    out = M.cascade(tables, kept, spark.createDataFrame([(2,)], "file_id long"))
+    assert {r.id for r in out["code_chunks"].collect()} == {1}
+    assert {r.id: r.chunk_id for r in out["symbols"].collect()} == {1: 1, 3: None, 4: None}
+    assert {r.id for r in out["symbol_references"].collect()} == {1, 3} and {r.id for r in out["dependencies"].collect()} == {1, 5}

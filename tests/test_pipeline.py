@@ -52,6 +52,7 @@ def test_tools(spark, built):
     assert {r.target_paths for r in tools.find_references("shop", "normalise").collect()} == {"src/core/util.py"}
     vector = Offline().embed(["normalise row"])[0]
     assert tools.semantic_search("shop", "normalise row", vector).first().repo == "shop"
+    assert tools.semantic_search("shop", "normalise row").collect() == tools.semantic_search("shop", "normalise row", vector).collect()
     assert tools.trace_dependencies("shop", "queue.py").count() > 0 and tools.trace_dependencies("shop", "queue.py", summary=True).count() > 0
     assert tools.find_dependency_cycles("shop").first().cycle == "src/core/queue.py > src/core/util.py"
     metrics, pairs = tools.analyze_coupling("shop", "src/core")
@@ -98,6 +99,41 @@ def test_second_run_touches_only_what_changed(spark, built):
     assert ix.runs().where("status = 'completed'").count() == 4
 
 
+def test_edges_to_reindexed_symbols_are_resolved_again(spark, tmp_path):
+    import subprocess
+
+    for p, t in {"a.swift": "class ShopCoordinator {\n  let store: UserStore\n}\n", "b.swift": "class UserStore {\n  func load() { }\n}\n", "c.swift": "class Ignored { }\n", ".gitignore": "c.swift\n"}.items():
+        (tmp_path / "repo").mkdir(exist_ok=True)
+        (tmp_path / "repo" / p).write_text(t)
+    subprocess.run(["git", "init", "-q", str(tmp_path / "repo")], check=True)
+    root = f"file://{tmp_path}/index"
+    assert ingest(spark, str(tmp_path / "repo"), root, classify=False)["indexed"] == 2  # git ignores one
+    (tmp_path / "repo" / "b.swift").write_text("// moved down\nclass UserStore {\n  func load() { }\n}\n")
+    assert ingest(spark, str(tmp_path / "repo"), root, classify=False)["indexed"] == 1
+    ix = StoredIndex(spark, root)
+    ids = {r.name: r.id for r in ix.symbols().collect()}
+    edges = ix.dependencies().where("kind = 'type_reference'").collect()
+    assert [e.target_symbol_id for e in edges] == [ids["UserStore"]] and edges[0].source_symbol_id in ids.values()
+
+
+def test_edges_to_names_that_are_gone_become_external(spark):
+    from codelode.pipeline import SCHEMAS, _relinked
+
+    deps = spark.createDataFrame([(1, 1, 2, 10, 20, "injection", None, None), (2, 2, 2, 20, 20, "injection", None, None), (3, 1, 3, 10, 30, "injection", None, None), (4, 1, None, None, None, "import", "x", None)], SCHEMAS["dependencies"])
+    old = spark.createDataFrame([(10, 1, "A", "class"), (20, 2, "B", "class"), (30, 3, "C", "class")], "id long, file_id long, name string, kind string")
+    files = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    found = _relinked(deps, old, spark.createDataFrame([(2,)], "file_id long"), files, _symbol_rows(spark, [(10, 1, "A"), (30, 3, "C")])).collect()
+    assert [(r.id, r.target_symbol_id, r.target_file_id, r.external_module) for r in found] == [(1, None, None, "B")]
+    found = _relinked(deps, old, spark.createDataFrame([(2,)], "file_id long"), files, _symbol_rows(spark, [(10, 1, "A"), (99, 2, "b"), (30, 3, "C")])).collect()
+    assert [(r.id, r.target_symbol_id, r.target_file_id, r.external_module) for r in found] == [(1, 99, 2, None)]
+
+
+def _symbol_rows(spark, rows):
+    from codelode.pipeline import SCHEMAS, _shaped
+
+    return _shaped(spark.createDataFrame([(*r, "class", True) for r in rows], "id long, file_id long, name string, kind string, is_primary_declaration boolean"), "symbols")
+
+
 def test_synthesis_and_deletion(spark, built):
     base, _ = built
     root = f"file://{base}/index"
