@@ -54,7 +54,8 @@ query("dml_delete_repo", sql("SELECT id, repo FROM f WHERE repo <> (SELECT max(r
 
 def _cascade(ix: Index) -> DataFrame:
     kept = M.delete_prefix(ix.files("id", "repo", "path"), "src")
-    tables = {"code_chunks": ix.chunks("id", "file_id"), "symbols": ix.symbols("id", "file_id"), "symbol_references": ix.references("id", "source_file_id"), "dependencies": ix.dependencies("id", "source_file_id", "target_file_id", "target_symbol_id")}
+    tables = {"code_chunks": ix.chunks("id", "file_id"), "symbols": ix.symbols("id", "file_id", "chunk_id")}
+    tables |= {"symbol_references": ix.references("id", "source_file_id", "source_chunk_id"), "dependencies": ix.dependencies("id", "source_file_id", "target_file_id", "source_symbol_id", "target_symbol_id")}
     out = None
     for name, df in M.cascade(tables, kept).items():
         part = df.select(F.lit(name).alias("table_name"), "id")
@@ -64,7 +65,7 @@ def _cascade(ix: Index) -> DataFrame:
 
 query("dml_cascade", sql(""",
 k AS (SELECT id FROM f WHERE NOT (starts_with(path, 'src/') OR path = 'src')), ks AS (SELECT id FROM s WHERE file_id IN (SELECT id FROM k))
-SELECT 'code_chunks' AS table_name, id FROM c WHERE file_id IN (SELECT id FROM k) UNION ALL SELECT 'symbols', id FROM ks UNION ALL SELECT 'symbol_references', id FROM r WHERE source_file_id IN (SELECT id FROM k)
+SELECT 'code_chunks' AS table_name, id FROM c WHERE file_id IN (SELECT id FROM k) UNION ALL SELECT 'symbols', id FROM ks UNION ALL SELECT 'symbol_references', id FROM r WHERE source_file_id IN (SELECT id FROM k) AND (source_chunk_id IS NULL OR source_chunk_id IN (SELECT id FROM c WHERE file_id IN (SELECT id FROM k)))
 UNION ALL SELECT 'dependencies', id FROM d WHERE source_file_id IN (SELECT id FROM k) AND (target_file_id IS NULL OR target_file_id IN (SELECT id FROM k)) AND (source_symbol_id IS NULL OR source_symbol_id IN (SELECT id FROM ks)) AND (target_symbol_id IS NULL OR target_symbol_id IN (SELECT id FROM ks))"""))(_cascade)
 query("dml_replace_children", sql("SELECT id, file_id, CASE WHEN f.language = 'go' THEN 'fresh' ELSE 'kept' END AS origin FROM (SELECT id, file_id FROM c) x LEFT JOIN (SELECT id AS fid, language FROM f) f ON f.fid = x.file_id"))(
     lambda ix: M.replace_children(
