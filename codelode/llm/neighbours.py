@@ -157,15 +157,15 @@ def candidates(codes: DataFrame, k: int, reach: int, bound: int = 512) -> DataFr
         probes = rows.select("owner", "id", "code", "more", whole.alias("whole"), F.explode(own).alias("key"))
         crowded = settled(probes.groupBy("owner", "whole", "key").count().where(F.col("count") > bound).drop("count"), "crowded")
         hot = not crowded.isEmpty()
-        sparse = probes.join(crowded, ["owner", "whole", "key"], "left_anti") if hot else probes
+        sparse = probes.join(crowded.hint("merge"), ["owner", "whole", "key"], "left_anti") if hot else probes
         a, b = sparse.alias("a"), sparse.alias("b")
         near = _distance("a", "b") <= reach
         same = (F.col("a.key") == F.col("b.key")) & (F.col("a.owner") == F.col("b.owner")) & (F.col("a.whole") == F.col("b.whole")) & (F.col("a.id") < F.col("b.id"))
-        parts.append(a.join(b, same & near).select(F.col("a.owner").alias("owner"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")))
+        parts.append(a.join(b.hint("merge"), same & near).select(F.col("a.owner").alias("owner"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")))
         if not hot:
             break
-        meet = probes.join(crowded, ["owner", "whole", "key"], "left_semi").select("owner", "id").distinct()
-        rows = settled(rows.join(meet, ["owner", "id"], "left_semi"), "codes")
+        meet = probes.join(crowded.hint("merge"), ["owner", "whole", "key"], "left_semi").select("owner", "id").distinct()
+        rows = settled(rows.join(meet.hint("merge"), ["owner", "id"], "left_semi"), "codes")
     else:  # more than ``bound`` rows of one code: each with the next ones along a direction
         order = Window.partitionBy("owner", "code", "more").orderBy("along", "id")
         ahead = rows.withColumn("next", F.collect_list("id").over(order.rowsBetween(1, 4 * (k + 1)))).select("owner", "id", F.explode("next").alias("other"))
@@ -189,7 +189,7 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int = 5, radius: int = 3, re
         place = F.row_number().over(Window.partitionBy("owner", "copy").orderBy("id"))
         base = codes.withColumn("place", place).where(F.col("place") <= k + 1)
         least = codes.groupBy("owner", "copy").agg(F.min("id").alias("rep"))
-        members = codes.join(queries.where(F.size("embedding") == dims).select("owner", "id").distinct(), ["owner", "id"], "left_semi").join(least, ["owner", "copy"])
+        members = codes.join(queries.where(F.size("embedding") == dims).select("owner", "id").distinct().hint("merge"), ["owner", "id"], "left_semi").join(least.hint("merge"), ["owner", "copy"])
         members = settled(members.select("owner", "id", "rep", "code", "more"), "asked")
         asked = members.groupBy("owner", F.col("rep").alias("id")).agg(F.min("code").alias("code"), F.min("more").alias("more"))
         part = [F.shiftrightunsigned(F.col(c), 16 * i).bitwiseAND(F.lit(65535)).cast("int") for c in ("code", "more") for i in range(4)]
@@ -198,16 +198,16 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int = 5, radius: int = 3, re
         probes = asked.select("owner", "id", "code", "more", cut).select("owner", "id", "code", "more", "s.n", F.explode(F.transform(masks, lambda x: F.col("s.bits").bitwiseXOR(x))).alias("key"))
         a, b = probes.alias("a"), table.alias("b")
         same = (F.col("a.owner") == F.col("b.owner")) & (F.col("a.n") == F.col("b.n")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id"))
-        pairs = a.join(b, same & (_distance("a", "b") <= reach)).select(F.col("a.owner").alias("owner"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+        pairs = a.join(b.hint("merge"), same & (_distance("a", "b") <= reach)).select(F.col("a.owner").alias("owner"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
         order = Window.partitionBy("owner", "id").orderBy(F.desc("similarity"), "neighbour")
         best = rerank(pairs, own).select("owner", F.col("id_a").alias("id"), F.col("id_b").alias("neighbour"), "similarity")
         best = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).select("owner", F.col("id").alias("rep"), "neighbour", "similarity")
         best = best.unionByName(members.select("owner", "rep", F.col("rep").alias("neighbour"), F.lit(1.0).alias("similarity")).distinct())
-        ranked = members.select("owner", "id", "rep").join(best, ["owner", "rep"]).where("id <> neighbour").drop("rep")
+        ranked = members.select("owner", "id", "rep").join(best.hint("merge"), ["owner", "rep"]).where("id <> neighbour").drop("rep")
         ranked = settled(ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k), "ranked")
         full = ranked.where(F.col("place") == k).select("owner", "id")
-        short = own.join(members.join(full, ["owner", "id"], "left_anti").select("owner", "id"), ["owner", "id"], "left_semi")
-        both = ranked.join(full, ["owner", "id"], "left_semi").unionByName(nearest(short, own, k))
+        short = own.join(members.join(full.hint("merge"), ["owner", "id"], "left_anti").select("owner", "id").hint("merge"), ["owner", "id"], "left_semi")
+        both = ranked.join(full.hint("merge"), ["owner", "id"], "left_semi").unionByName(nearest(short, own, k))
         found = both if found is None else found.unionByName(both)
     return vectors.sparkSession.createDataFrame([], schema) if found is None else found
 
@@ -216,10 +216,10 @@ def rerank(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """(owner, id_a, id_b, similarity): cosine from the floats, in double precision."""
     pairs = settled(pairs, "pairs")
     need = pairs.select("owner", F.col("id_a").alias("id")).unionByName(pairs.select("owner", F.col("id_b").alias("id"))).distinct()
-    floats = settled(vectors.select("owner", "id", "embedding").join(need, ["owner", "id"], "left_semi").dropDuplicates(["owner", "id"]), "floats")
+    floats = settled(vectors.select("owner", "id", "embedding").join(need.hint("merge"), ["owner", "id"], "left_semi").dropDuplicates(["owner", "id"]), "floats")
     left = floats.select("owner", F.col("id").alias("id_a"), F.col("embedding").alias("x"))
     right = floats.select("owner", F.col("id").alias("id_b"), F.col("embedding").alias("y"))
-    both = pairs.join(left, ["owner", "id_a"]).join(right, ["owner", "id_b"])
+    both = pairs.join(left.hint("merge"), ["owner", "id_a"]).join(right.hint("merge"), ["owner", "id_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -261,25 +261,39 @@ def copies(vectors: DataFrame) -> DataFrame:
         found = found.unionByName(encode(own, np.eye(dims, 2 * BITS)).select("owner", "id", "copy"))
     codes = settled(found.dropDuplicates(["owner", "id"]), "copies")
     named = codes.groupBy("owner", "copy").agg(F.min("id").alias("same_as"), F.count("*").alias("size"))
-    return codes.join(named, ["owner", "copy"]).select("owner", "id", "same_as", "size")
+    return codes.join(named.hint("merge"), ["owner", "copy"]).select("owner", "id", "same_as", "size")
 
 
-def _distinct(sims: np.ndarray, who: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best ids of each row, each once; the columns are in order and hold an id at most twice, so 2 k of them are enough."""
-    order = np.argsort(who, axis=1, kind="stable")
-    ids = np.take_along_axis(who, order, 1)
-    again = np.zeros(who.shape, bool)
-    np.put_along_axis(again, order[:, 1:], ids[:, 1:] == ids[:, :-1], 1)
-    sims = np.where(again, -2, sims)
-    top = np.lexsort((who, -sims), axis=1)[:, :k]
-    return np.take_along_axis(sims, top, 1), np.take_along_axis(who, top, 1)
+def _first(row: np.ndarray, k: int) -> np.ndarray:
+    """Which entries are among the first k of their row; the rows are in order."""
+    return np.arange(len(row)) - np.searchsorted(row, row) < k
+
+
+def _best(q: np.ndarray, qid: np.ndarray, y: np.ndarray, yid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of y, similarity): the k most similar rows of y with another id for each row of q, the smaller id on ties.
+
+    The last bits of a matrix product depend on the place in the matrix. What comes near the k-th is computed again pair
+    by pair, so that copies tie.
+    """
+    found, step = [], max(1, (1 << 18) // len(y))
+    for n in range(0, len(q), step):
+        s = q[n : n + step] @ y.T
+        s[qid[n : n + step, None] == yid[None, :]] = -2
+        least = np.partition(s, -k, axis=1)[:, -k] - 1e-12 if len(y) > k else np.full(len(s), -1.5)
+        i, j = np.nonzero(s >= np.maximum(least, -1.5)[:, None])
+        s = (q[n + i] * y[j]).sum(axis=1)
+        order = np.lexsort((yid[j], -s, i))
+        order = order[_first(i[order], k)]
+        found.append((n + i[order], j[order], s[order]))
+    i, j, s = (np.concatenate(x) for x in zip(*found))
+    return i, j, s
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 4_000) -> DataFrame:
     """(owner, id, neighbour, similarity, place): the k most similar rows of the same owner for each query row.
 
-    The stated queries go against all rows in blocks of ``block`` broadcast vectors; each task keeps the k best of its
-    rows per query, and a second step the k best of those. Exact, and the yardstick for ``similar_pairs``.
+    The stated queries go against all rows in blocks of ``block`` broadcast vectors, one block at a time; each task keeps the
+    k best of its rows per query, and a second step the k best of those. Exact, and the yardstick for ``similar_pairs``.
     """
     found, rows, queries = None, _plain(vectors), _plain(queries)
     for dims, own in by_length(rows):
@@ -293,24 +307,19 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 4_0
 
 
 def _scan(queries: DataFrame, rows: DataFrame, dims: int, block: int, k: int) -> DataFrame:
-    """The k best of each task for every query, in blocks of queries."""
-    spark, found = rows.sparkSession, None
-    parts: list[list] = [[]]
-    for r in queries.dropDuplicates(["owner", "id"]).select("owner", "id", "embedding").toLocalIterator():
-        if len(parts[-1]) == block:
-            parts.append([])
-        parts[-1].append((r[0], r[1], r[2]))
-    schema = "owner string, id long, neighbour long, similarity double"
-    for part in parts:
-        by: dict[str, tuple] = {}
-        for owner in sorted({p[0] for p in part}):
-            own = [p for p in part if p[0] == owner]
-            keep, q = _matrix(pa.array([p[2] for p in own], pa.list_(pa.float32())), dims)
-            by[owner] = (np.array([p[1] for p in own], np.int64)[keep], q)
-        shared = spark.sparkContext.broadcast(by)
+    """The k best of each task for every query; the driver holds one block of queries, whatever their number."""
+    schema, found = "owner string, id long, neighbour long, similarity double", []
+    asked = settled(queries.dropDuplicates(["owner", "id"]).select("owner", "id", "embedding"), "queries")
+    blocks = -(-asked.count() // block)
+    for number in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).toArrow()
+        at, x = _matrix(part.column(2), dims)
+        owners, ids = np.array(part.column(0).to_pylist(), object)[at], part.column(1).to_numpy()[at]
+        by = {owner: (ids[owners == owner], x[owners == owner]) for owner in set(owners)}
+        shared = rows.sparkSession.sparkContext.broadcast(by)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            best: dict[str, list] = {}
+            best: dict[str, tuple] = {}
             for b in batches:
                 at, x = _matrix(b.column(2), dims)
                 owners, ids = np.array(b.column(0).to_pylist(), object)[at], b.column(1).to_numpy()[at]
@@ -319,18 +328,19 @@ def _scan(queries: DataFrame, rows: DataFrame, dims: int, block: int, k: int) ->
                     qid, q = shared.value[owner]
                     n = np.unique(ids[mine], return_index=True)[1]
                     y, yid = x[mine][n], ids[mine][n]
-                    s = q @ y.T
-                    s[qid[:, None] == yid[None, :]] = -2
-                    old = best.get(owner)
-                    sims, who = (s, np.broadcast_to(yid, s.shape)) if old is None else (np.hstack([old[0], s]), np.hstack([old[1], np.broadcast_to(yid, s.shape)]))
-                    top = np.lexsort((who, -sims), axis=1)[:, : 2 * k]
-                    best[owner] = _distinct(np.take_along_axis(sims, top, 1), np.take_along_axis(who, top, 1), k)
-            for owner, (s, who) in best.items():
-                qid = np.repeat(shared.value[owner][0], s.shape[1])
-                s, who = s.ravel(), who.ravel()
-                ok = s > -2
-                yield pa.RecordBatch.from_arrays([pa.array([owner] * int(ok.sum()), pa.string()), pa.array(qid[ok]), pa.array(who[ok]), pa.array(s[ok])], ["owner", "id", "neighbour", "similarity"])
-
-        one = rows.mapInArrow(run, schema)
-        found = one if found is None else found.unionByName(one)
-    return found
+                    i, j, s = _best(q, qid, y, yid, k)
+                    who = yid[j]
+                    if owner in best:
+                        i, who, s = (np.concatenate(z) for z in zip(best[owner], (i, who, s)))
+                        order = np.lexsort((-s, who, i))  # an id counts once
+                        order = order[np.append(True, (np.diff(i[order]) != 0) | (np.diff(who[order]) != 0))] if len(order) else order
+                        order = order[np.lexsort((who[order], -s[order], i[order]))]
+                        order = order[_first(i[order], k)]
+                        i, who, s = i[order], who[order], s[order]
+                    best[owner] = (i, who, s)
+            for owner, (i, who, s) in best.items():
+                yield pa.RecordBatch.from_arrays([pa.array([owner] * len(i), pa.string()), pa.array(shared.value[owner][0][i]), pa.array(who), pa.array(s)], ["owner", "id", "neighbour", "similarity"])
+
+        found.append(settled(rows.mapInArrow(run, schema), "nearest"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], schema)
