@@ -5,11 +5,9 @@ signs of the rotated vector a code of 2 x 64 bits in which the angle between vec
 cut into substrings, each an index of its own; by pigeonhole, codes that are close agree, or nearly agree, in some of
 them. Two operators use that:
 
-- ``similar_pairs``, for pairs above a similarity: the first 64 bits in 8 substrings; codes within 8 - c agree in at least
-  c of them, so the combinations of c substrings are the keys. It starts with c = 2 (radius 6). A bucket with more than
-  ``bound`` rows is not paired: its rows go on to the combinations of 3, 4, 6 and 8, then to those of the second 64 bits, so crowded
-  places get a narrower radius, where neighbours are nearer anyway, and nowhere do more than ``bound`` rows meet. Rows with one
-  128-bit code that are more than ``bound`` meet the next ones in the order of a projection.
+- ``similar_pairs``, for pairs above a similarity: each 64 bits in 8 substrings; codes that differ in up to 6 of the 64 agree in
+  two of the 8, so the combinations of two substrings are the keys. Codes within the radius in either 64 bits meet, at every size
+  of table and bucket: crowded buckets are compared in blocks, and where near copies crowd, the vectors give each row's k best.
 - ``topk``, for the k most similar of given rows at any similarity: 8 substrings of 16 bits from all 128; the buckets
   within ``radius`` bits of the query's substring are probed, candidates within ``reach`` of 128 bits are reranked. Queries
   that found fewer than k go through the exact scan, so every query gets k neighbours where there are k.
@@ -37,7 +35,7 @@ from codelode.workspace import settled
 
 BITS = 64
 SAMPLE = 20_000
-_CODES = "owner string, id long, code long, more long, copy long, along double"
+_CODES = "owner string, id long, code long, more long, copy long"
 
 
 def _matrix(column: pa.ListArray, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,10 +99,9 @@ def train(vectors: DataFrame, dims: int, sample: int = SAMPLE) -> np.ndarray:
 
 
 def encode(vectors: DataFrame, rotation: np.ndarray) -> DataFrame:
-    """Codes of the usable vectors, and a hash by which copies are recognised, see ``_CODES``."""
+    """Codes of the usable vectors, a hash by which copies are recognised, see ``_CODES``, and the vectors."""
     dims = rotation.shape[0]
     shared = vectors.sparkSession.sparkContext.broadcast(rotation)
-    direction = np.random.default_rng(9).normal(size=dims)
     mixer = np.random.default_rng(5).integers(1, 2**63, dims, dtype=np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,15 +111,15 @@ def encode(vectors: DataFrame, rotation: np.ndarray) -> DataFrame:
             signs = (x @ shared.value > 0).reshape(len(x), 2, BITS)
             code = np.where(signs, power, np.uint64(0)).sum(axis=2, dtype=np.uint64).view(np.int64)
             with np.errstate(over="ignore"):
-                along = x @ direction
                 copy = (np.round(x * 1e6).astype(np.int64).view(np.uint64) * mixer).sum(axis=1, dtype=np.uint64)
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), pa.array(code[:, 0]), pa.array(code[:, 1]), pa.array(copy.view(np.int64)), pa.array(along)],
-                ["owner", "id", "code", "more", "copy", "along"],
+                [b.column(0).take(take), b.column(1).take(take), pa.array(code[:, 0]), pa.array(code[:, 1]), pa.array(copy.view(np.int64)), b.column(2).take(take)],
+                ["owner", "id", "code", "more", "copy", "embedding"],
             )
 
-    return _plain(vectors).mapInArrow(run, _CODES)
+    plain = _plain(vectors)
+    return plain.mapInArrow(run, f"{_CODES}, embedding {plain.schema['embedding'].dataType.simpleString()}")
 
 
 M = 8  # substrings of 8 bits
@@ -145,32 +142,189 @@ def _distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(f"{a}.code").bitwiseXOR(F.col(f"{b}.code"))) + F.bit_count(F.col(f"{a}.more").bitwiseXOR(F.col(f"{b}.more")))
 
 
-def candidates(codes: DataFrame, k: int, reach: int, bound: int = 512) -> DataFrame:
-    """(owner, id_a, id_b) with id_a < id_b: pairs of one owner that meet in a bucket and are within ``reach``."""
-    one = codes.dropDuplicates(["owner", "id"])
+def _runs(batches: Iterator[pa.RecordBatch], by: int, least: int = 1 << 17, most: int | None = None) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The rows of grouped batches in tables of whole runs of the first ``by`` columns, and where each run begins, with the end.
+
+    Of a run of more than ``most`` rows at least ``most`` + 1 come, not all.
+    """
+    kept: list[pa.RecordBatch] = []
+    passed = None
+
+    def begins(t: pa.Table) -> np.ndarray:
+        new = np.zeros(len(t), bool)
+        for c in t.columns[:by]:
+            x = c.combine_chunks().dictionary_encode()
+            x = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x).indices.to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        new[:1] = True
+        return np.append(np.flatnonzero(new), len(t))
+
+    for b in batches:
+        if passed is not None:
+            t = pa.Table.from_batches([passed, b])
+            n = begins(t)[1] - 1
+            if n == b.num_rows:
+                continue
+            b, passed = b.slice(n), None
+        kept.append(b)
+        if sum(x.num_rows for x in kept) >= least:
+            t = pa.Table.from_batches(kept).combine_chunks()
+            at = begins(t)
+            kept = t.slice(at[-2]).to_batches()
+            if most is not None and at[-1] - at[-2] > most:
+                kept, passed = [], kept[0].slice(0, 1)
+                yield t, at
+            elif len(at) > 2:
+                yield t.slice(0, at[-2]), at[:-1]
+    if sum(x.num_rows for x in kept):
+        t = pa.Table.from_batches(kept).combine_chunks()
+        yield t, begins(t)
+
+
+_NUMBER = np.zeros((M, M), np.int64)  # of the combination (i, j)
+for _n, (_i, _j) in enumerate(combinations(range(M), 2)):
+    _NUMBER[_i, _j] = _n
+PAIRS = M * (M - 1) // 2
+SMALL = 64  # rows of a bucket up to which many buckets are paired at once
+_PAIR, _DENSE, _LARGE = 0, 1, 2
+
+
+def _first_shared(code: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The number of the first combination of two substrings in which two codes agree, from their differences."""
+
+    def first(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        same = x.astype("<u8").view(np.uint8).reshape(-1, M) == 0
+        enough, i = same.sum(axis=1) > 1, same.argmax(axis=1)
+        same[np.arange(len(i)), i] = False
+        return enough, _NUMBER[i, same.argmax(axis=1)]
+
+    enough, number = first(code)
+    return np.where(enough, number, PAIRS + first(more)[1])
+
+
+def _meet(k: int, reach: int, bound: int | None = None):
+    """Grouped rows of buckets to the pairs within ``reach``, each from the first bucket it meets in; of a bucket with very many pairs its rows (id and side), of one with more rows than ``bound`` its name alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in _runs(batches, 3, most=bound):
+            key, part, side, ids = (t.column(i).to_numpy() for i in (1, 2, 3, 4))
+            code, more = (t.column(i).to_numpy().view(np.uint64) for i in (5, 6))
+
+            def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                return np.bitwise_count(code[a] ^ code[b]) + np.bitwise_count(more[a] ^ more[b]) <= reach
+
+            def first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                return _first_shared(code[a] ^ code[b], more[a] ^ more[b]) == key[a] >> 16
+
+            size = np.diff(at)
+            large = size > (len(t) if bound is None else bound)
+            left, right, dense = [], [], []
+            end = np.repeat(np.where((size <= SMALL) & ~large, at[1:], 0), size)
+            rows = np.arange(len(end))
+            for d in range(1, SMALL):
+                rows = rows[rows + d < end[rows]]
+                if not len(rows):
+                    break
+                a = rows[near(rows, rows + d)]
+                a = a[first(a, a + d) & ((side[a] == 0) | (side[a] != side[a + d]))]
+                left.append(a)
+                right.append(a + d)
+            for n in np.flatnonzero((size > SMALL) & ~large):
+                lo, hi = at[n], at[n + 1]
+                own, found, most = np.arange(lo, hi), [], 4 * (k + 1) * (hi - lo)
+                one = side[lo] == 0
+                mine, other = (own, own) if one else (own[side[lo:hi] == 1], own[side[lo:hi] == 2])
+                step = max(1, (1 << 17) // max(1, len(other)))
+                for n in range(0, len(mine), step):
+                    x, y = mine[n : n + step], other[n if one else 0 :]
+                    i, j = np.nonzero(near(x[:, None], y[None, :]))
+                    a, b = x[i], y[j]
+                    if one:
+                        a, b = a[a < b], b[a < b]
+                    ok = first(a, b)
+                    found.append((a[ok], b[ok]))
+                    most -= int(ok.sum())
+                    if most < 0:
+                        dense.append(own)
+                        break
+                else:
+                    left += [a for a, _ in found]
+                    right += [b for _, b in found]
+            a, b = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (left, right))
+            rows = np.concatenate([*dense, np.empty(0, np.int64)]).astype(np.int64)
+            parts = [a, rows, at[:-1][large]]
+            what = np.repeat(np.array([_PAIR, _DENSE, _LARGE], np.int32), [len(x) for x in parts])
+            take = np.concatenate(parts)
+            low, high = np.concatenate([np.minimum(ids[a], ids[b]), ids[take[len(a) :]]]), np.concatenate([np.maximum(ids[a], ids[b]), side[take[len(a) :]]])
+            columns = [t.column(0).take(pa.array(take)), *(pa.array(x) for x in (low, high, what, key[take], part[take]))]
+            yield from pa.Table.from_arrays(columns, ["owner", "id_a", "id_b", "what", "key", "part"]).to_batches()
+
+    return run
+
+
+def _closest(k: int):
+    """Sorted rows of buckets with their vectors to the k most similar others of each row in its bucket, from all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in _runs(batches, 3, 1 << 14):
+            for lo, hi in zip(at[:-1], at[1:]):
+                own = t.slice(lo, hi - lo).combine_chunks()
+                side, ids = own.column(3).to_numpy(), own.column(4).to_numpy()
+                ok, x = _matrix(own.column(5), len(own.column(5)[0]))
+                side, ids = side[ok], ids[ok]
+                for mine, other in ((0, 0), (1, 2), (2, 1)):
+                    m, o = side == mine, side == other
+                    if m.any() and o.any():
+                        i, j, s = _best(x[m], ids[m], x[o], ids[o], k)
+                        owner = pa.array([own.column(0)[0].as_py()] * len(i), pa.string())
+                        yield pa.RecordBatch.from_arrays([owner, pa.array(ids[m][i]), pa.array(ids[o][j]), pa.array(s)], ["owner", "id", "neighbour", "similarity"])
+
+    return run
+
+
+_BUCKET = ["owner", "key", "part"]
+
+
+def _grouped(rows: DataFrame, run, schema) -> DataFrame:
+    """``run`` over the rows, those of one bucket one after the other."""
+    return rows.repartition(*_BUCKET).sortWithinPartitions("key", "part", "owner").mapInArrow(run, schema)
+
+
+def candidates(codes: DataFrame, k: int, reach: int, bound: int = 32_768) -> DataFrame:
+    """(owner, id_a, id_b) with id_a < id_b: the pairs of one owner that meet in a bucket and are within ``reach``.
+
+    A bucket holds the rows whose codes agree in two substrings of the first or of the second 64 bits. All pairs of a bucket are
+    compared, those of more than ``bound`` rows in blocks of about ``bound``, each with each. Where more than 4 (k + 1) pairs a row
+    are within reach, the vectors decide: out come each row's k most similar of that bucket.
+    """
+    one = codes.select("owner", "id", "code", "more", "copy").dropDuplicates(["owner", "id"])
     place = F.row_number().over(Window.partitionBy("owner", "copy").orderBy("id"))
-    rows = settled(one.withColumn("place", place).where(F.col("place") <= k + 1).select("owner", "id", "code", "more", "along"), "codes")
-    parts: list[DataFrame] = []
-    # the levels: c substrings of the first code; then all of it and c of the second
-    levels = [(keys(F.col("code"), c), F.lit(0).cast("long")) for c in (2, 3, 4, 6, 8)] + [(keys(F.col("more"), c), F.col("code")) for c in (2, 4, 8)]
-    for own, whole in levels:
-        probes = rows.select("owner", "id", "code", "more", whole.alias("whole"), F.explode(own).alias("key"))
-        crowded = settled(probes.groupBy("owner", "whole", "key").count().where(F.col("count") > bound).drop("count"), "crowded")
-        hot = not crowded.isEmpty()
-        sparse = probes.join(crowded.hint("merge"), ["owner", "whole", "key"], "left_anti") if hot else probes
-        a, b = sparse.alias("a"), sparse.alias("b")
-        near = _distance("a", "b") <= reach
-        same = (F.col("a.key") == F.col("b.key")) & (F.col("a.owner") == F.col("b.owner")) & (F.col("a.whole") == F.col("b.whole")) & (F.col("a.id") < F.col("b.id"))
-        parts.append(a.join(b.hint("merge"), same & near).select(F.col("a.owner").alias("owner"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")))
-        if not hot:
-            break
-        meet = probes.join(crowded.hint("merge"), ["owner", "whole", "key"], "left_semi").select("owner", "id").distinct()
-        rows = settled(rows.join(meet.hint("merge"), ["owner", "id"], "left_semi"), "codes")
-    else:  # more than ``bound`` rows of one code: each with the next ones along a direction
-        order = Window.partitionBy("owner", "code", "more").orderBy("along", "id")
-        ahead = rows.withColumn("next", F.collect_list("id").over(order.rowsBetween(1, 4 * (k + 1)))).select("owner", "id", F.explode("next").alias("other"))
-        parts.append(ahead.select("owner", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    rows = settled(one.withColumn("place", place).where(F.col("place") <= k + 1).select("owner", "id", "code", "more"), "codes")
+    both = F.concat(keys(F.col("code"), 2), F.transform(keys(F.col("more"), 2), lambda x: x + F.lit(PAIRS << 16)))
+    probes = rows.select("owner", "id", "code", "more", F.explode(both).alias("key"))
+    probes = probes.select("owner", "key", F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"), "id", "code", "more")
+    met = _grouped(probes, _meet(k, reach, bound), "owner string, id_a long, id_b long, what int, key long, part long")
+    met = settled(met, "met")
+    large = met.where(F.col("what") == _LARGE).select("owner", "key")
+    if not large.isEmpty():
+        crowd = probes.join(large.hint("merge"), ["owner", "key"], "left_semi")
+        blocks = settled(crowd.groupBy("owner", "key").agg(F.ceil(F.count("*") / bound).alias("blocks")), "blocks")
+        crowd = crowd.join(blocks.hint("merge"), ["owner", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+        crowd = crowd.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        part = F.shiftleft(F.least("block", "with") + 1, 31) + F.greatest("block", "with")
+        side = F.when(F.col("block") == F.col("with"), 0).when(F.col("block") < F.col("with"), 1).otherwise(2)
+        crowd = crowd.select("owner", "key", part.alias("part"), side.alias("side"), "id", "code", "more")
+        met = met.unionByName(settled(_grouped(crowd, _meet(k, reach), met.schema), "met"))
+    pairs, dense = met.where(F.col("what") == _PAIR).select("owner", "id_a", "id_b"), met.where(F.col("what") == _DENSE)
+    if dense.isEmpty():
+        return pairs
+    held = dense.select(*_BUCKET, F.col("id_b").alias("side"), F.col("id_a").alias("id"))
+    vectors = codes.select("owner", "id", "embedding").join(held.select("owner", "id").distinct().hint("merge"), ["owner", "id"], "left_semi")
+    held = held.join(vectors.dropDuplicates(["owner", "id"]).hint("merge"), ["owner", "id"]).select(*_BUCKET, "side", "id", "embedding")
+    best = _grouped(held, _closest(k), "owner string, id long, neighbour long, similarity double").distinct()
+    order = Window.partitionBy("owner", "id").orderBy(F.desc("similarity"), "neighbour")
+    best = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return pairs.unionByName(best.select("owner", F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b"))).distinct()
 
 
 def topk(queries: DataFrame, vectors: DataFrame, k: int = 5, radius: int = 3, reach: int = 46) -> DataFrame:
@@ -212,11 +366,50 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int = 5, radius: int = 3, re
     return vectors.sparkSession.createDataFrame([], schema) if found is None else found
 
 
-def rerank(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(owner, id_a, id_b, similarity): cosine from the floats, in double precision."""
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to usable vectors the unit vector in bytes, with its scale and a bound of its error."""
+    for b in batches:
+        if b.num_rows:
+            at, x = _matrix(b.column(2), len(b.column(2)[0]))
+            scale = (np.abs(x).max(axis=1) / 127).astype("<f4")
+            q = np.rint(x / scale[:, None]).clip(-127, 127).astype(np.int8)
+            error = (np.sqrt(((x - q * scale[:, None].astype(float)) ** 2).sum(axis=1)) + 1e-6).astype("<f4")
+            blob = np.hstack([q.view(np.uint8), scale[:, None].view(np.uint8), error[:, None].view(np.uint8)])
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in b.columns[:3]), pa.array([r.tobytes() for r in blob], pa.binary())], ["owner", "id", "embedding", "small"])
+
+
+def _likely(least: float):
+    """Pairs whose vectors in bytes do not rule out the similarity ``least``."""
+
+    def part(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        blob = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+        scale, error = (np.ascontiguousarray(blob[:, i:j]).view("<f4")[:, 0].astype(float) for i, j in ((-8, -4), (-4, blob.shape[1])))
+        return blob[:, :-8].view(np.int8).astype(np.float32), scale, error
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                (x, p, e), (y, q, f) = part(b.column(3)), part(b.column(4))
+                ok = (x * y).sum(axis=1) * p * q + e + f + e * f + 1e-5 >= least
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in b.columns[:3]], ["owner", "id_a", "id_b"])
+
+    return run
+
+
+def rerank(pairs: DataFrame, vectors: DataFrame, least: float | None = None) -> DataFrame:
+    """(owner, id_a, id_b, similarity): cosine from the floats, in double precision.
+
+    With ``least``, pairs that are surely below it are left out before floats are joined: their vectors in bytes say so.
+    """
     pairs = settled(pairs, "pairs")
     need = pairs.select("owner", F.col("id_a").alias("id")).unionByName(pairs.select("owner", F.col("id_b").alias("id"))).distinct()
-    floats = settled(vectors.select("owner", "id", "embedding").join(need.hint("merge"), ["owner", "id"], "left_semi").dropDuplicates(["owner", "id"]), "floats")
+    floats = vectors.select("owner", "id", "embedding").join(need.hint("merge"), ["owner", "id"], "left_semi").dropDuplicates(["owner", "id"])
+    floats = settled(floats.mapInArrow(_small, f"owner string, id long, embedding {vectors.schema['embedding'].dataType.simpleString()}, small binary"), "floats")
+    if least is not None:
+        x, y = (floats.select("owner", F.col("id").alias(i), F.col("small").alias(n)).hint("merge") for i, n in (("id_a", "x"), ("id_b", "y")))
+        both = pairs.join(x, ["owner", "id_a"]).join(y, ["owner", "id_b"]).select("owner", "id_a", "id_b", "x", "y")
+        pairs = settled(both.mapInArrow(_likely(least), pairs.schema), "likely")
     left = floats.select("owner", F.col("id").alias("id_a"), F.col("embedding").alias("x"))
     right = floats.select("owner", F.col("id").alias("id_b"), F.col("embedding").alias("y"))
     both = pairs.join(left.hint("merge"), ["owner", "id_a"]).join(right.hint("merge"), ["owner", "id_b"])
@@ -237,12 +430,12 @@ def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.95, reach: in
     """(owner, id_a, id_b, similarity, mutual): pairs of one owner with at least the similarity ``least`` of which one
     is among the other's k most similar; ``mutual`` if each is. ``vectors`` has owner, id and embedding.
 
-    Index radius 6 of 64 bits is guaranteed where no bucket is crowded, larger distances are found with falling certainty;
-    ``reach`` counts over 128 bits, where vectors with a cosine of 0.95 differ in 13 on average.
+    Radius 6 in either 64 bits is guaranteed, larger distances are found with falling certainty; ``reach`` counts over 128 bits,
+    where vectors with a cosine of 0.95 differ in 13 on average.
     """
     vectors, found = _plain(vectors), None
     for dims, own in by_length(vectors):
-        one = rerank(candidates(encode(own, train(own, dims)), k, reach), own)
+        one = rerank(candidates(encode(own, train(own, dims)), k, reach), own, least)
         found = one if found is None else found.unionByName(one)
     if found is None:
         return vectors.sparkSession.createDataFrame([], "owner string, id_a long, id_b long, similarity double, mutual boolean")
