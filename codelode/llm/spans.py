@@ -12,10 +12,11 @@ the square of the corpus. It therefore brings equal content together by content
 1. every window of ``least`` characters chooses an anchor, the ``gram`` inside it with the least hash; equal windows
    choose equal anchors at equal places, and successive windows mostly the same one. Per text this leaves about
    2 / (least - gram) runs of windows a character, each with its anchor and a hash of all characters it covers;
-2. anchors found in one record only are dropped (an aggregation with map-side combine; no group is ever collected);
+2. anchors found in one record only are dropped (by a window function over the anchor, so that runs are shuffled once and
+   never written besides; a group too large for memory goes to disk, all in one task);
 3. an anchor whose runs are all equal settles them at once, however many records have it: copies cost no more;
 4. the windows of the other runs (where sharing begins or ends) are compared one by one, by their hash and place at
-   the anchor, again by aggregation only;
+   the anchor, in the same way;
 5. the stretches of each record are merged.
 
 Hashes are 64 bits of a polynomial over mixed code points; windows are keyed by anchor hash, place and window hash.
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.workspace import settled
@@ -168,21 +169,26 @@ def shared_spans(docs: DataFrame, least: int = 300, gram: int | None = None, key
     another record too; positions are characters from 0, end excluded, and stretches of a record neither touch nor overlap.
     """
     gram = gram or max(1, least * 3 // 5)
-    runs = settled(anchor_runs(docs, least, gram, key, text), "spans")  # read twice; the texts only once
-    spread = runs.groupBy("anchor").agg(
-        F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("covers").alias("c0"), F.max("covers").alias("c1")
-    ).where("d0 <> d1").select("anchor", (F.col("c0") == F.col("c1")).alias("equal"))
-    known = settled(runs.join(spread, "anchor").select("doc_id", "start", "windows", "equal"), "spans")
+    # runs are as many bytes as the texts' files: an aggregation joined back would shuffle them twice and need them written
+    shared = _in_two_records(anchor_runs(docs, least, gram, key, text), "anchor", "covers")
+    known = settled(shared.select("doc_id", "start", "windows", "equal"), "spans")
     whole = known.where("equal").selectExpr("doc_id", "start", f"start + windows - 1 + {least} AS end")
     open_runs = known.where("not equal").groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("windows").alias("counts"))
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= least)
     again = texts.join(open_runs, "doc_id").select("doc_id", "text", "starts", "counts")
-    windows = settled(_window_hashes(again, least), "spans")
-    twice = windows.groupBy("place").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 <> d1").select("place")
-    parts = windows.join(twice, "place").selectExpr("doc_id", "start", f"start + {least} AS end")
+    parts = _in_two_records(_window_hashes(again, least), "place").selectExpr("doc_id", "start", f"start + {least} AS end")
     return _merged(whole.unionByName(parts))
 
 
+def _in_two_records(rows: DataFrame, by: str, same: str | None = None) -> DataFrame:
+    """The rows whose ``by`` stands in more than one record, and in ``equal`` whether all rows of that ``by`` agree in ``same``."""
+    group = Window.partitionBy(by)
+    about = {"several": F.min("doc_id").over(group) != F.max("doc_id").over(group)}
+    if same:
+        about["equal"] = F.min(same).over(group) == F.max(same).over(group)
+    return rows.withColumns(about).where("several").drop("several")
+
+
 def _merged(parts: DataFrame) -> DataFrame:
     """Union of overlapping or touching stretches per record. A record's stretches are bounded by its own length."""
     joined = parts.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("s"))
