@@ -1,4 +1,4 @@
-"""Dependency traces and cycles: breadth first over the edge table, one join a level.
+"""Dependency traces and cycles: breadth first over the edge table, one join a level; ranks are counted by ``cycles``.
 
 Levels are written to the shared folder, so a lost executor costs one level and lineage does not grow.
 """
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions.columns import DEPENDENCY_ORDER, contains, under
+from codelode.operators import cycles
 from codelode.operators.edges import resolved_references, unified_edges
 from codelode.sources.tables import Index
 from codelode.workspace import settled
@@ -133,6 +134,6 @@ def find_cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
     return best.select("repo", F.size("path").alias("length"), F.array_join("path", " > ").alias("cycle"), "path")
 
 
-def rank_cycle_files(cycles: DataFrame) -> DataFrame:
-    """(repo, node, cycles): in how many cycles each file is."""
-    return cycles.select("repo", F.explode("path").alias("node")).groupBy("repo", "node").agg(F.count("*").alias("cycles"))
+def rank_cycle_files(edges: DataFrame, max_length: int = 6) -> DataFrame:
+    """(repo, node, cycles): in how many of the cycles of ``find_cycles`` each file is."""
+    return cycles.counted(edges, min(max_length, 10))
