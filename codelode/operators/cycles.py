@@ -283,6 +283,32 @@ def _walks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[str
             yield batch["repo"][i].as_py(), batch["files"][i].values, Walker(first, targets, length).cycles(starts.reshape(-1, 3))
 
 
+def listed(edges: DataFrame, length: int, paths: bool) -> DataFrame:
+    """(repo, length, cycle and, with ``paths``, path) of every cycle."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for repo, files, found in _walks(batches, length):
+            kept: dict[int, list[np.ndarray]] = {}
+            for x in found:
+                own = kept.setdefault(len(x), [])
+                own.append(x)
+                if sum(y.shape[1] for y in own) >= BLOCK // 4:
+                    yield from texts(repo, files, np.concatenate(kept.pop(len(x)), axis=1))
+            for own in kept.values():
+                yield from texts(repo, files, np.concatenate(own, axis=1))
+
+    def texts(repo: str, files: pa.Array, cycles: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for x in range(0, cycles.shape[1], BLOCK // 4):
+            some = cycles[:, x : x + BLOCK // 4]
+            k, n = some.shape
+            out = {"repo": pa.repeat(pa.scalar(repo, pa.string()), n), "length": pa.repeat(pa.scalar(k, pa.int32()), n), "cycle": pc.binary_join_element_wise(*[files.take(pa.array(c)) for c in some], " > ")}
+            if paths:
+                out["path"] = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * k, files.take(pa.array(some.T.ravel())))
+            yield pa.RecordBatch.from_pydict(out)
+
+    return graphs(edges, length).mapInArrow(rows, "repo string, length int, cycle string" + ", path array<string>" * paths)
+
+
 def counted(edges: DataFrame, length: int) -> DataFrame:
     """(repo, node, cycles): in how many cycles each file is; cycles are counted where they are found."""
 

@@ -1,4 +1,4 @@
-"""Dependency traces and cycles: breadth first over the edge table, one join a level; ranks are counted by ``cycles``.
+"""Dependency traces, breadth first over the edge table, one join a level; cycles are found by ``cycles``.
 
 Levels are written to the shared folder, so a lost executor costs one level and lineage does not grow.
 """
@@ -109,29 +109,12 @@ def cycle_edges(ix: Index, prefix: str = "") -> DataFrame:
     return deps.unionByName(refs).where("source <> target").distinct()
 
 
-def find_cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
-    """(repo, length, cycle): simple cycles of at most ``max_length`` (10) files, one for each set of files.
+def find_cycles(edges: DataFrame, max_length: int = 6, paths: bool = True) -> DataFrame:
+    """(repo, length, cycle, path): simple cycles of at most ``max_length`` (10) files, one for each set of files.
 
-    Only files on a cycle matter, so edges whose ends can't be reached back are peeled off first. Paths start at their
-    least file and grow by joins; of the cycles of one set the least path is kept.
+    Paths start at their least file; of the cycles of one set the least path is kept. Without ``paths`` the last column is left out.
     """
-    length = min(max_length, 10)
-    edges = settled(edges.select("repo", "source", "target"), "cycles")
-    for _ in range(3):  # peel off files without edges in or out
-        edges = edges.join(edges.select("repo", F.col("target").alias("source")).distinct(), ["repo", "source"], "left_semi")
-        edges = edges.join(edges.select("repo", F.col("source").alias("target")).distinct(), ["repo", "target"], "left_semi")
-    edges = settled(edges, "cycles")
-    paths = edges.where("target > source").select("repo", F.array("source", "target").alias("path"))
-    closed = None
-    for n in range(2, length + 1):
-        last = F.element_at("path", -1)
-        ends = paths.withColumn("source", last).withColumn("target", F.element_at("path", 1)).join(edges, ["repo", "source", "target"], "left_semi").select("repo", "path")
-        closed = ends if closed is None else closed.unionByName(ends)
-        if n < length:
-            grown = paths.withColumn("source", last).join(edges, ["repo", "source"]).where((F.col("target") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("target")))
-            paths = settled(grown.select("repo", F.concat("path", F.array("target")).alias("path")), "cycles")
-    best = closed.groupBy("repo", F.array_sort("path").alias("files")).agg(F.min("path").alias("path"))
-    return best.select("repo", F.size("path").alias("length"), F.array_join("path", " > ").alias("cycle"), "path")
+    return cycles.listed(edges, min(max_length, 10), paths)
 
 
 def rank_cycle_files(edges: DataFrame, max_length: int = 6) -> DataFrame:

@@ -5,9 +5,12 @@ import random
 from collections import Counter
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from test_graphs import simple_cycles
 
+from codelode.operators import cycles
 from codelode.operators import tracing as T
 from codelode.plans.registry import core
 from codelode.workspace import shared_dir
@@ -49,3 +52,35 @@ def cycles_of(edges, most):
     short = {x: f"{i:03d}" for i, x in enumerate(names)}
     found = simple_cycles({(short[a], short[b]) for a, b in edges if a != b}, most) if most > 1 else set()
     return [[names[int(x)] for x in c.split(" > ")] for _, c in found]
+
+
+def test_list_without_stored_paths(spark, data):
+    before = stored(spark)
+    assert core()[0]["q_find_cycles"](spark, data).collect()
+    assert stored(spark) == before
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 7, 12])
+def test_list(spark, length):
+    r = random.Random(length)
+    edges = {(f"n{r.randrange(9)}é > {r.randrange(2)}", f"n{r.randrange(9)}é > {r.randrange(2)}") for _ in range(40)}
+    want = sorted(cycles_of(edges, min(length, 10)))
+    rows = T.find_cycles(table(spark, edges), length).collect()
+    assert sorted(x.path for x in rows) == want
+    assert all(x.length == len(x.path) and x.cycle == " > ".join(x.path) for x in rows)
+
+
+@pytest.mark.parametrize("block, dense", [(3, 0), (40, 1 << 20), (1 << 17, 0)])
+def test_blocks_and_shares_change_nothing(monkeypatch, block, dense):
+    monkeypatch.setattr(cycles, "BLOCK", block)
+    monkeypatch.setattr(cycles, "DENSE", dense)
+    monkeypatch.setattr(cycles, "EDGES_A_SHARE", 4)
+    r = random.Random(block)
+    edges = {(f"n{r.randrange(12):02d}", f"n{r.randrange(12):02d}") for _ in range(60)}
+    shares = list(cycles.deal(pa.table({"source": [a for a, _ in edges], "target": [b for _, b in edges]}), 6))
+    got = []
+    for x in shares:
+        names = x["files"].to_pylist()
+        walker = cycles.Walker(np.frombuffer(x["first"], np.int64), np.frombuffer(x["targets"], np.int32), 6)
+        got += [[names[i] for i in c] for y in walker.cycles(np.frombuffer(x["starts"], np.int64).reshape(-1, 3)) for c in y.T]
+    assert len(shares) > 1 and sorted(got) == sorted(cycles_of(edges, 6))
